@@ -126,8 +126,13 @@ def display_name(title: str | Column) -> Column:
 
 
 def pct_text(c: str | Column, places: int = 2) -> Column:
-    """Fraction -> percent text, e.g. 0.77621 -> '77.62%'."""
-    return F.format_string(f"%.{places}f%%", _col(c) * 100)
+    """Fraction -> percent text, e.g. 0.77621 -> '77.62%'.
+
+    ``format_number`` rounds the exact binary value half-to-even, as Python
+    string formatting does (``format_string('%.2f')`` rounds half-up on the
+    shortest decimal form and differs on ties); grouping commas removed.
+    """
+    return F.concat(F.regexp_replace(F.format_number(_col(c) * 100, places), ",", ""), F.lit("%"))
 
 
 def money_text(c: str | Column) -> Column:

@@ -196,3 +196,167 @@ SELECT level, {cols} FROM sr GROUP BY level"""
 
 SQL["service_rate_wide"] = _service_wide("churn_rate_pct")
 SQL["service_count_wide"] = _service_wide("churned")
+
+# ---- scorecard (fixture score in place of a model probability) -------------
+SQL["churn_risk_band"] = FEAT + """
+SELECT customer_id, churn_probability, churn_risk FROM sc"""
+
+
+def _profile(dim: str, col: str) -> str:
+    return f"""SELECT '{dim}' AS dimension, CAST({col} AS VARCHAR) AS level,
+  round((count(*) FILTER (WHERE churn = 'Yes'))::DOUBLE / count(*), 4) AS actual_churn_rate,
+  round(avg(churn_probability), 4) AS avg_churn_probability,
+  round(avg(monthly_charges), 4) AS avg_monthly_charges,
+  count(customer_id) AS customer_count
+FROM sc WHERE {col} IS NOT NULL GROUP BY {col}"""
+
+
+def _profile_sql(dims) -> str:
+    body = " UNION ALL ".join(_profile(d, c) for d, c in dims)
+    empty = []
+    for d, labels in (("Tenure", S.TENURE_LABELS), ("MonthlyCharges", S.CHARGES_LABELS)):
+        if d in [x for x, _ in dims]:
+            empty += [f"('{d}', '{lab}')" for lab in labels]
+    sql = FEAT + f", prof AS ({body})\nSELECT * FROM prof"
+    if empty:
+        sql += f"""
+UNION ALL
+SELECT v.dimension, v.level, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 0::BIGINT
+FROM (VALUES {", ".join(empty)}) AS v(dimension, level)
+WHERE NOT EXISTS (SELECT 1 FROM prof WHERE prof.dimension = v.dimension AND prof.level = v.level)"""
+    return sql
+
+
+SQL["segment_profile"] = _profile_sql(S.PROFILE_DIMENSIONS)
+for _key, (_dim, _col) in zip(
+    ["segment_tenure", "segment_contract", "segment_charges", "segment_internet", "segment_risk"],
+    S.PROFILE_DIMENSIONS,
+):
+    SQL[_key] = _profile_sql([(_dim, _col)])
+
+_HR = FEAT + """
+, hr AS (SELECT *, monthly_charges AS monthly_revenue_at_risk FROM sc WHERE churn_risk = 'High')"""
+
+SQL["revenue_at_risk"] = _HR + """
+SELECT count(*) AS high_risk_customers, coalesce(sum(monthly_charges), 0e0) AS monthly_revenue_at_risk,
+       coalesce(sum(monthly_charges), 0e0) * 12 AS annual_revenue_at_risk FROM hr"""
+
+SQL["high_risk_filter"] = _HR + """
+SELECT customer_id, churn_probability, monthly_revenue_at_risk FROM hr"""
+
+_RULES = [
+    "contract = 'Month-to-month' AND tenure < 12",
+    "monthly_charges > 70 AND contract = 'Month-to-month'",
+    "internet_service = 'Fiber optic'",
+    "service_count < 2",
+    "streaming_tv = 'Yes' OR streaming_movies = 'Yes'",
+]
+_MEMBERS = " UNION ALL ".join(
+    f"SELECT customer_id, churn_probability, monthly_charges, {i} AS segment_id FROM hr WHERE {r}"
+    for i, r in enumerate(_RULES, 1)
+)
+_SEG = _HR + f"""
+, mem AS ({_MEMBERS}),
+seg AS (SELECT segment_id, count(*) AS customer_count, avg(churn_probability) AS avg_churn_probability,
+               sum(monthly_charges) AS monthly_revenue_at_risk FROM mem GROUP BY segment_id)"""
+
+SQL["segment_membership"] = _HR + f"""
+, mem AS ({_MEMBERS})
+SELECT customer_id, churn_probability, monthly_charges, segment_id FROM mem"""
+
+SQL["retention_segments"] = _SEG + """
+SELECT * FROM seg"""
+
+_PLAN_VALUES = ", ".join(
+    f"({i}, '{seg}', '{strat}', '{'; '.join(items)}', '{imp}', '{cost}', '{roi}')"
+    for i, seg, strat, items, imp, cost, roi in S.RETENTION_PLAN
+)
+_PLAN = _SEG + f"""
+, pd AS (SELECT * FROM (VALUES {_PLAN_VALUES})
+         AS t(segment_id, segment, strategy, action_items, expected_impact, cost_per_customer, roi)),
+pl AS (SELECT seg.segment_id, segment, customer_count, avg_churn_probability, monthly_revenue_at_risk,
+              strategy, action_items, expected_impact, cost_per_customer, roi
+       FROM seg JOIN pd ON seg.segment_id = pd.segment_id)"""
+
+SQL["retention_plan"] = _PLAN + """
+SELECT * FROM pl"""
+
+SQL["report_lines"] = _PLAN + """
+, p AS (SELECT *, row_number() OVER (ORDER BY segment_id) AS pos FROM pl),
+k AS (SELECT count(*) AS n, coalesce(sum(monthly_charges), 0e0) AS m FROM hr)
+SELECT 'retention' AS section, CAST(pos * 10 + 1 AS INT) AS line_no, 'Segment ' || pos || ': ' || segment AS text FROM p
+UNION ALL SELECT 'retention', CAST(pos * 10 + 2 AS INT), 'Customer Count: ' || format('{:,}', customer_count) FROM p
+UNION ALL SELECT 'retention', CAST(pos * 10 + 3 AS INT), 'Average Churn Probability: ' || format('{:.2f}%', avg_churn_probability * 100) FROM p
+UNION ALL SELECT 'retention', CAST(pos * 10 + 4 AS INT), 'Monthly Revenue At Risk: $' || format('{:,.2f}', monthly_revenue_at_risk) FROM p
+UNION ALL SELECT 'summary', 1, 'Total High-Risk Customers: ' || format('{:,}', n) FROM k
+UNION ALL SELECT 'summary', 2, 'Total Monthly Revenue At Risk: $' || format('{:,.2f}', m) FROM k
+UNION ALL SELECT 'summary', 3, 'Annual Revenue At Risk: $' || format('{:,.2f}', m * 12) FROM k"""
+
+EXTRACT_FEATURES = [
+    "tenure", "internet_service", "online_security", "online_backup", "device_protection", "tech_support",
+    "streaming_tv", "streaming_movies", "contract", "monthly_charges", "total_charges",
+    "tenure_group", "charges_group", "risk_segment", "service_count", "total_charges_group", "high_value",
+]
+_EXTRACT_EXTRA = [c for c in EXTRACT_FEATURES if c not in
+                  ("customer_id", "churn_probability", "churn_risk", "contract", "tenure", "monthly_charges",
+                   "internet_service", "monthly_revenue_at_risk")]
+SQL["high_risk_extract"] = _HR + f"""
+SELECT customer_id, churn_probability, churn_risk, contract, tenure, monthly_charges, internet_service,
+       monthly_revenue_at_risk, {", ".join(_EXTRACT_EXTRA)}
+FROM hr ORDER BY churn_probability DESC, customer_id ASC LIMIT 1000"""
+
+# ---- split and metrics (test split of the scorecard) -----------------------
+_SPLIT = FEAT + """
+, lab AS (SELECT *, md5(customer_id || '#42') AS h FROM sc WHERE churn_label IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY churn_label ORDER BY h, customer_id) AS rn,
+              count(*) OVER (PARTITION BY churn_label) AS cn FROM lab),
+sp AS (SELECT *, CASE WHEN rn <= round(cn * 0.2) THEN 'test' ELSE 'train' END AS split FROM rk),
+te AS (SELECT * FROM sp WHERE split = 'test' AND churn_probability IS NOT NULL)"""
+
+SQL["stratified_split"] = _SPLIT + """
+SELECT customer_id, churn_label, split FROM sp"""
+
+SQL["split_balance"] = _SPLIT + """
+SELECT split, count(*) AS n_rows, avg(churn_label::DOUBLE) AS churn_rate FROM sp GROUP BY split"""
+
+_CC = _SPLIT + """
+, cc AS (SELECT count(*) AS n,
+   count(*) FILTER (WHERE churn_label = 1 AND churn_probability > 0.5) AS tp,
+   count(*) FILTER (WHERE churn_label = 0 AND churn_probability > 0.5) AS fp,
+   count(*) FILTER (WHERE churn_label = 1 AND NOT churn_probability > 0.5) AS fn,
+   count(*) FILTER (WHERE churn_label = 0 AND NOT churn_probability > 0.5) AS tn FROM te),
+mt AS (SELECT n, tp, fp, fn, tn,
+   coalesce((tp + tn)::DOUBLE / nullif(n, 0)::DOUBLE, 0e0) AS accuracy,
+   coalesce(tp::DOUBLE / nullif(tp + fp, 0)::DOUBLE, 0e0) AS precision,
+   coalesce(tp::DOUBLE / nullif(tp + fn, 0)::DOUBLE, 0e0) AS recall,
+   coalesce((2 * tp)::DOUBLE / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0e0) AS f1_score FROM cc),
+t AS (SELECT churn_probability AS score, count(*) FILTER (WHERE churn_label = 1) AS pos,
+             count(*) FILTER (WHERE churn_label = 0) AS neg FROM te GROUP BY churn_probability),
+c AS (SELECT score, pos, neg,
+   sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tps,
+   sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fps,
+   row_number() OVER (ORDER BY score DESC) - 1 AS idx,
+   lead(pos) OVER (ORDER BY score DESC) AS next_pos, lead(neg) OVER (ORDER BY score DESC) AS next_neg,
+   sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM t),
+au AS (SELECT sum(pos::DOUBLE * (2 * (N - fps) + neg)::DOUBLE) / (2e0 * max(P)::DOUBLE * max(N)::DOUBLE) AS auc FROM c)"""
+
+SQL["classification_metrics"] = _CC + """
+SELECT * FROM mt"""
+
+SQL["confusion_matrix"] = _CC + """
+SELECT 0 AS actual, 0 AS predicted, tn AS count FROM cc UNION ALL
+SELECT 0, 1, fp FROM cc UNION ALL SELECT 1, 0, fn FROM cc UNION ALL SELECT 1, 1, tp FROM cc"""
+
+SQL["roc_curve"] = _CC + """
+SELECT 'Infinity'::DOUBLE AS threshold, 0e0 AS fpr, 0e0 AS tpr
+UNION ALL
+SELECT score, fps::DOUBLE / N::DOUBLE, tps::DOUBLE / P::DOUBLE FROM c
+WHERE idx = 0 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg"""
+
+SQL["roc_auc"] = _CC + """
+SELECT auc FROM au"""
+
+SQL["evaluation_table"] = _CC + """
+SELECT 'Accuracy' AS metric, accuracy AS value FROM mt UNION ALL
+SELECT 'Precision', precision FROM mt UNION ALL SELECT 'Recall', recall FROM mt UNION ALL
+SELECT 'F1 Score', f1_score FROM mt UNION ALL SELECT 'AUC', auc FROM au"""

@@ -127,3 +127,118 @@ for _name in [
     "service_count_wide",
 ]:
     _descriptive(_name, getattr(descriptive, _name))
+
+
+# ---- scorecard: fixture score standing in for a model probability ---------
+from churnlens.operators import metrics, retention, segments, split  # noqa: E402
+from churnlens.operators.features import scorecard  # noqa: E402
+
+NON_FEATURES = {S.ID, S.CHURN, S.LABEL, "k", "score", S.TOTAL_RAW, S.PROB, S.PRED, S.RISK_BAND, "split"}
+
+
+def feature_columns(df: DataFrame) -> list[str]:
+    """Model inputs: every column except id, label and bookkeeping columns."""
+    return [c for c in df.columns if c not in NON_FEATURES]
+
+
+def sc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scorecard(feat(spark, sf_dir), "score")
+
+
+@query("churn_risk_band")
+def q_churn_risk_band(spark, sf_dir):
+    return sc(spark, sf_dir).select(S.ID, S.PROB, S.RISK_BAND)
+
+
+@query("segment_profile")
+def q_segment_profile(spark, sf_dir):
+    return segments.segment_profile(sc(spark, sf_dir))
+
+
+for _key, (_dim, _col) in zip(
+    ["segment_tenure", "segment_contract", "segment_charges", "segment_internet", "segment_risk"],
+    S.PROFILE_DIMENSIONS,
+):
+    def _mk(dim):
+        return lambda spark, sf_dir: segments.profile_by(sc(spark, sf_dir), dim)
+
+    query(_key)(_mk(_dim))
+
+
+@query("revenue_at_risk")
+def q_revenue_at_risk(spark, sf_dir):
+    return retention.revenue_at_risk(sc(spark, sf_dir))
+
+
+@query("high_risk_filter")
+def q_high_risk_filter(spark, sf_dir):
+    return retention.high_risk(sc(spark, sf_dir)).select(S.ID, S.PROB, "monthly_revenue_at_risk")
+
+
+@query("segment_membership")
+def q_segment_membership(spark, sf_dir):
+    return retention.segment_membership(sc(spark, sf_dir))
+
+
+@query("retention_segments")
+def q_retention_segments(spark, sf_dir):
+    return retention.retention_segments(sc(spark, sf_dir))
+
+
+@query("retention_plan")
+def q_retention_plan(spark, sf_dir):
+    return retention.retention_plan(sc(spark, sf_dir))
+
+
+@query("report_lines")
+def q_report_lines(spark, sf_dir):
+    return retention.report_lines(sc(spark, sf_dir))
+
+
+@query("high_risk_extract")
+def q_high_risk_extract(spark, sf_dir):
+    df = sc(spark, sf_dir)
+    return retention.high_risk_extract(df, feature_columns(df))
+
+
+def sc_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.stratified_split(sc(spark, sf_dir))
+
+
+def sc_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sc_split(spark, sf_dir).where(F.col("split") == "test")
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return sc_split(spark, sf_dir).select(S.ID, S.LABEL, "split")
+
+
+@query("split_balance")
+def q_split_balance(spark, sf_dir):
+    return split.split_balance(sc_split(spark, sf_dir))
+
+
+@query("classification_metrics")
+def q_classification_metrics(spark, sf_dir):
+    return metrics.classification_metrics(sc_test(spark, sf_dir))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return metrics.confusion_matrix(sc_test(spark, sf_dir))
+
+
+@query("roc_curve")
+def q_roc_curve(spark, sf_dir):
+    return metrics.roc_curve(sc_test(spark, sf_dir))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return metrics.roc_auc(sc_test(spark, sf_dir))
+
+
+@query("evaluation_table")
+def q_evaluation_table(spark, sf_dir):
+    return metrics.evaluation_table(sc_test(spark, sf_dir))
