@@ -360,3 +360,18 @@ SQL["evaluation_table"] = _CC + """
 SELECT 'Accuracy' AS metric, accuracy AS value FROM mt UNION ALL
 SELECT 'Precision', precision FROM mt UNION ALL SELECT 'Recall', recall FROM mt UNION ALL
 SELECT 'F1 Score', f1_score FROM mt UNION ALL SELECT 'AUC', auc FROM au"""
+
+# ---- model inputs ----------------------------------------------------------
+SQL["model_features"] = FEAT + """
+SELECT customer_id, tenure, contract, internet_service, monthly_charges, online_security, online_backup,
+       device_protection, tech_support, streaming_tv, streaming_movies, total_charges, tenure_group,
+       charges_group, risk_segment, service_count, high_value, total_charges_group
+FROM feat"""
+
+_CATS = ["contract", "internet_service", "online_security", "online_backup", "device_protection", "tech_support",
+         "streaming_tv", "streaming_movies", "tenure_group", "charges_group", "risk_segment", "total_charges_group"]
+SQL["label_encode"] = FEAT + """
+SELECT customer_id, """ + ",\n       ".join(
+    f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'nan')) - 1 AS INTEGER) AS {c}" for c in _CATS
+) + """
+FROM feat"""

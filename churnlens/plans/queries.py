@@ -242,3 +242,87 @@ def q_roc_auc(spark, sf_dir):
 @query("evaluation_table")
 def q_evaluation_table(spark, sf_dir):
     return metrics.evaluation_table(sc_test(spark, sf_dir))
+
+
+# ---- model: encoding, training, scoring, explanation -----------------------
+from churnlens.operators import explain as X  # noqa: E402
+from churnlens.operators import model as M  # noqa: E402
+from churnlens.plans import modelling as MP  # noqa: E402
+
+
+@query("model_features")
+def q_model_features(spark, sf_dir):
+    return MP.model_feature_frame(feat(spark, sf_dir))
+
+
+@query("label_encode")
+def q_label_encode(spark, sf_dir):
+    return M.label_encode(feat(spark, sf_dir))
+
+
+@query("train_model")
+def q_train_model(spark, sf_dir):
+    return MP.tree_summary(MP.fitted(spark, sf_dir), spark)
+
+
+@query("predict_test")
+def q_predict_test(spark, sf_dir):
+    return MP.scored_test(spark, sf_dir).select(S.ID, S.LABEL, S.PROB, S.PRED)
+
+
+@query("batch_score")
+def q_batch_score(spark, sf_dir):
+    return MP.scored_all(spark, sf_dir).select(S.ID, "split", S.PROB, S.PRED, S.RISK_BAND)
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    return M.feature_importance(MP.fitted(spark, sf_dir), spark)
+
+
+@query("top_features")
+def q_top_features(spark, sf_dir):
+    return M.feature_importance(MP.fitted(spark, sf_dir), spark).limit(S.TOP_FEATURES)
+
+
+@query("model_evaluation")
+def q_model_evaluation(spark, sf_dir):
+    return metrics.evaluation_table(MP.scored_test(spark, sf_dir))
+
+
+@query("model_confusion_matrix")
+def q_model_confusion(spark, sf_dir):
+    return metrics.confusion_matrix(MP.scored_test(spark, sf_dir))
+
+
+@query("model_roc_curve")
+def q_model_roc(spark, sf_dir):
+    return metrics.roc_curve(MP.scored_test(spark, sf_dir))
+
+
+@query("model_segment_profile")
+def q_model_segment_profile(spark, sf_dir):
+    return segments.segment_profile(MP.scored_all(spark, sf_dir))
+
+
+@query("model_revenue_at_risk")
+def q_model_revenue(spark, sf_dir):
+    return retention.revenue_at_risk(MP.scored_all(spark, sf_dir))
+
+
+@query("model_retention_plan")
+def q_model_plan(spark, sf_dir):
+    return retention.retention_plan(MP.scored_all(spark, sf_dir))
+
+
+@query("model_high_risk_extract")
+def q_model_extract(spark, sf_dir):
+    df = MP.scored_all(spark, sf_dir)
+    return retention.high_risk_extract(df, MP.fitted(spark, sf_dir).features)
+
+
+@query("shap_importance")
+def q_shap_importance(spark, sf_dir):
+    model = MP.fitted(spark, sf_dir)
+    vals = X.shap_values(MP.scored_test(spark, sf_dir), model)
+    return X.shap_importance(vals, model.features)
