@@ -181,7 +181,9 @@ def shap_values(scored: DataFrame, model, spark=None) -> DataFrame:
         vector_to_array("features").alias("x"),
         vector_to_array("raw_prediction")[1].alias("margin"),
     )
-    return inp.mapInPandas(explain, f"{S.ID} string, base_value double, phi array<double>, margin double")
+    # explanation is CPU-bound per row: spread rows over all cores even when
+    # the input arrives in few (e.g. AQE-coalesced) partitions
+    return inp.repartition(spark.sparkContext.defaultParallelism).mapInPandas(explain, f"{S.ID} string, base_value double, phi array<double>, margin double")
 
 
 def shap_long(values: DataFrame, features: list[str]) -> DataFrame:

@@ -55,15 +55,20 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.stratified_split(subscribers(spark, sf_dir))
 
 
-def fitted(spark: SparkSession, sf_dir: str, params: M.GBTParams = M.GBTParams()) -> M.FittedModel:
+def fitted(
+    spark: SparkSession, sf_dir: str, params: M.GBTParams = M.GBTParams(), refresh: bool = False
+) -> M.FittedModel:
+    """The fitted model for this input and parameters (``refresh`` retrains)."""
     key = model_key(sf_dir, params)
     memo = (spark.sparkContext.applicationId, key)
-    if memo in _MEMO:
+    if memo in _MEMO and not refresh:
         return _MEMO[memo]
     path = os.path.join(ensure_checkpoint_dir(spark), "churnlens-models", key)
     meta_path = path + "/churnlens_meta"
     model = None
     try:
+        if refresh:
+            raise LookupError("retrain requested")
         meta = json.loads(spark.read.text(meta_path).first()[0])
         model = M.FittedModel(PipelineModel.load(path + "/pipeline"), meta["features"])
     except Exception:  # noqa: BLE001 - not saved yet (or unreadable): train

@@ -326,3 +326,20 @@ def q_shap_importance(spark, sf_dir):
     model = MP.fitted(spark, sf_dir)
     vals = X.shap_values(MP.scored_test(spark, sf_dir), model)
     return X.shap_importance(vals, model.features)
+
+
+@query("export_results")
+def q_export_results(spark, sf_dir):
+    from churnlens.session import scratch_path
+    from churnlens.sources.sinks import export_results
+
+    model = MP.fitted(spark, sf_dir)
+    scored = MP.scored_all(spark, sf_dir)
+    tables = {
+        "model_evaluation": metrics.evaluation_table(MP.scored_test(spark, sf_dir)),
+        "feature_importance": M.feature_importance(model, spark),
+        "segment_profile": segments.segment_profile(scored),
+        "retention_plan": retention.retention_plan(scored),
+        "high_risk_customers": retention.high_risk_extract(scored, model.features),
+    }
+    return export_results(tables, scratch_path(spark, "export"))

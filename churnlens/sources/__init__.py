@@ -1 +1,4 @@
-"""sources"""
+"""Sources and sinks."""
+
+from churnlens.sources.sinks import export_results, write_report  # noqa: F401
+from churnlens.sources.subscribers import dataset_profile, read_subscribers_csv, subscriber_view  # noqa: F401
