@@ -20,29 +20,36 @@ _BINNED = {"Tenure": S.TENURE_LABELS, "MonthlyCharges": S.CHARGES_LABELS}
 
 def _profile_aggs() -> list[Column]:
     r = S.METRIC_ROUND
+    real = F.col("__real")
     return [
-        F.round(F.count_if(fn.is_yes(S.CHURN)) / F.count(F.lit(1)), r).alias("actual_churn_rate"),
+        F.round(F.try_divide(F.count_if(fn.is_yes(S.CHURN) & real), F.count_if(real)), r).alias("actual_churn_rate"),
         F.round(F.avg(S.PROB), r).alias("avg_churn_probability"),
         F.round(F.avg(S.MONTHLY), r).alias("avg_monthly_charges"),
         F.count(S.ID).alias("customer_count"),
     ]
 
 
-def _add_empty_bins(agg: DataFrame, dims: list[str]) -> DataFrame:
+def _with_padding(long: DataFrame, dims: list[str]) -> DataFrame:
+    """Add one flagged padding row per bin level of the binned dimensions.
+
+    The padding rows (at most a dozen, a constant) make empty bins appear in
+    the same aggregate pass, with count 0 and null measures, instead of a
+    second pass joining the result against the bin list.
+    """
     rows = [(d, lab) for d in dims if d in _BINNED for lab in _BINNED[d]]
+    long = long.withColumn("__real", F.lit(True))
     if not rows:
-        return agg
-    spark = agg.sparkSession
-    levels = spark.createDataFrame(rows, "dimension string, level string")
-    missing = levels.join(agg.select("dimension", "level"), ["dimension", "level"], "left_anti").select(
+        return long
+    pad = long.sparkSession.createDataFrame(rows, "dimension string, level string").select(
+        F.lit(None).cast("string").alias(S.ID),
+        F.lit(None).cast("string").alias(S.CHURN),
+        F.lit(None).cast("double").alias(S.PROB),
+        F.lit(None).cast("double").alias(S.MONTHLY),
         "dimension",
         "level",
-        F.lit(None).cast("double").alias("actual_churn_rate"),
-        F.lit(None).cast("double").alias("avg_churn_probability"),
-        F.lit(None).cast("double").alias("avg_monthly_charges"),
-        F.lit(0).cast("bigint").alias("customer_count"),
+        F.lit(False).alias("__real"),
     )
-    return agg.unionByName(missing)
+    return long.unionByName(pad)
 
 
 def segment_profile(scored: DataFrame, dimensions: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -52,16 +59,14 @@ def segment_profile(scored: DataFrame, dimensions: list[tuple[str, str]] | None
         S.ID, S.CHURN, S.PROB, S.MONTHLY, *[F.col(c).cast("string").alias(name) for name, c in dims]
     )
     long = keyed.unpivot([S.ID, S.CHURN, S.PROB, S.MONTHLY], [n for n, _ in dims], "dimension", "level")
-    agg = long.where(F.col("level").isNotNull()).groupBy("dimension", "level").agg(*_profile_aggs())
-    return _add_empty_bins(agg, [n for n, _ in dims])
+    long = _with_padding(long.where(F.col("level").isNotNull()), [n for n, _ in dims])
+    return long.groupBy("dimension", "level").agg(*_profile_aggs())
 
 
 def profile_by(scored: DataFrame, name: str) -> DataFrame:
     """One dimension's profile (a plain group-by on its key)."""
     col = dict(S.PROFILE_DIMENSIONS)[name]
-    agg = (
-        scored.where(F.col(col).isNotNull())
-        .groupBy(F.lit(name).alias("dimension"), F.col(col).cast("string").alias("level"))
-        .agg(*_profile_aggs())
+    long = scored.where(F.col(col).isNotNull()).select(
+        S.ID, S.CHURN, S.PROB, S.MONTHLY, F.lit(name).alias("dimension"), F.col(col).cast("string").alias("level")
     )
-    return _add_empty_bins(agg, [name])
+    return _with_padding(long, [name]).groupBy("dimension", "level").agg(*_profile_aggs())
