@@ -9,7 +9,6 @@ queries (in this or another process) load it instead of training again.
 
 from __future__ import annotations
 
-import glob
 import hashlib
 import json
 import os
@@ -21,24 +20,10 @@ from pyspark.sql import functions as F
 from churnlens import schema as S
 from churnlens.operators import model as M
 from churnlens.operators import split
-from churnlens.operators.features import enrich
+from churnlens.plans.tables import enriched, input_fingerprint
 from churnlens.session import ensure_checkpoint_dir
-from churnlens.sources.subscribers import subscriber_view
 
 _MEMO: dict[tuple, M.FittedModel] = {}
-INPUT_TABLES = ("customer", "orders")
-
-
-def input_fingerprint(sf_dir: str) -> str:
-    parts = []
-    for t in INPUT_TABLES:
-        for p in sorted(glob.glob(f"{sf_dir}/{t}.parquet*")) or [f"{sf_dir}/{t}.parquet"]:
-            try:
-                st = os.stat(p)
-                parts.append(f"{os.path.abspath(p)}:{st.st_size}:{int(st.st_mtime)}")
-            except OSError:
-                parts.append(p)
-    return "|".join(parts)
 
 
 def model_key(sf_dir: str, params: M.GBTParams) -> str:
@@ -48,7 +33,7 @@ def model_key(sf_dir: str, params: M.GBTParams) -> str:
 
 def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched subscriber table (imputed totals, all derived features)."""
-    return enrich(subscriber_view(spark, sf_dir))
+    return enriched(spark, sf_dir, totals=True)
 
 
 def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:

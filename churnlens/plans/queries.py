@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from churnlens import schema as S
 from churnlens.functions import lenient_double
 from churnlens.operators import clean, descriptive
-from churnlens.operators.features import enrich
-from churnlens.sources.subscribers import dataset_profile, subscriber_view
+from churnlens.plans import tables
+from churnlens.sources.subscribers import dataset_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,11 +30,11 @@ def query(name: str):
 
 
 def subs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subscriber_view(spark, sf_dir)
+    return tables.base_view(spark, sf_dir)
 
 
 def feat(spark: SparkSession, sf_dir: str, totals: bool = True) -> DataFrame:
-    return enrich(subs(spark, sf_dir), with_totals=totals)
+    return tables.enriched(spark, sf_dir, totals)
 
 
 # ---- sources and projections ---------------------------------------------
