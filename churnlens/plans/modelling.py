@@ -48,14 +48,14 @@ def fitted(
     memo = (spark.sparkContext.applicationId, key)
     if memo in _MEMO and not refresh:
         return _MEMO[memo]
-    path = os.path.join(ensure_checkpoint_dir(spark), "churnlens-models", key)
+    path = _store(spark, sf_dir, params)
     meta_path = path + "/churnlens_meta"
     model = None
     try:
         if refresh:
             raise LookupError("retrain requested")
         meta = json.loads(spark.read.text(meta_path).first()[0])
-        model = M.FittedModel(PipelineModel.load(path + "/pipeline"), meta["features"])
+        model = M.FittedModel(PipelineModel.load(path + "/pipeline"), meta["features"], meta["train_id"])
     except Exception:  # noqa: BLE001 - not saved yet (or unreadable): train
         model = None
     if model is None:
@@ -64,22 +64,41 @@ def fitted(
         train_rows = sp.where(F.col("split") == "train")
         model = M.train(df, train_rows, params)
         model.pipeline.write().overwrite().save(path + "/pipeline")
-        spark.createDataFrame([(json.dumps({"features": model.features}),)], "v string").coalesce(1).write.mode(
+        spark.createDataFrame([(json.dumps({"features": model.features, "train_id": model.train_id}),)], "v string").coalesce(1).write.mode(
             "overwrite"
         ).text(meta_path)
     _MEMO[memo] = model
     return model
 
 
+def _store(spark: SparkSession, sf_dir: str, params: M.GBTParams) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "churnlens-models", model_key(sf_dir, params))
+
+
 def scored_all(spark: SparkSession, sf_dir: str, params: M.GBTParams = M.GBTParams()) -> DataFrame:
-    """Every subscriber scored (training rows included, as in the workflow), with its split."""
+    """Every subscriber scored (training rows included, as in the workflow), with its split.
+
+    Scored once per fitted model and written as Parquet next to the model in
+    the shared folder; the segment, plan, extract and explanation reports
+    all read that table (lineage cut, nothing recomputed, and a lost
+    executor only re-reads files).
+    """
     model = fitted(spark, sf_dir, params)
-    return M.score(model, split_table(spark, sf_dir))
+    path = _store(spark, sf_dir, params) + f"/scored-{model.train_id}"
+    memo = (spark.sparkContext.applicationId, "scored", path)
+    if memo in _MEMO:
+        return _MEMO[memo]
+    try:
+        df = spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - not written yet
+        M.score(model, split_table(spark, sf_dir)).write.mode("overwrite").parquet(path)
+        df = spark.read.parquet(path)
+    _MEMO[memo] = df
+    return df
 
 
 def scored_test(spark: SparkSession, sf_dir: str, params: M.GBTParams = M.GBTParams()) -> DataFrame:
-    model = fitted(spark, sf_dir, params)
-    return M.score(model, split_table(spark, sf_dir).where(F.col("split") == "test"))
+    return scored_all(spark, sf_dir, params).where(F.col("split") == "test")
 
 
 def tree_summary(model: M.FittedModel, spark: SparkSession) -> DataFrame:

@@ -35,19 +35,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder of the session.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; it is only invented
-    here when unset and the master is local (tests).  On a cluster without
-    one we refuse rather than write to a machine-local folder.
+    The context's own checkpoint directory (used by ``checkpoint()`` and the
+    tree learner) is set from it when missing.  The returned path is the
+    configured base, not the per-application subfolder Spark creates, so
+    stored artefacts (fitted models) are found again by later applications.
+    Only when nothing is configured and the master is local (tests) is a
+    temporary folder used; on a cluster that is an error rather than a
+    machine-local path.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
-        sc.setCheckpointDir(conf_dir)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(conf_dir)
+        return conf_dir
+    if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     if sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="churnlens-ckpt-"))
