@@ -290,6 +290,16 @@ def q_model_evaluation(spark, sf_dir):
     return metrics.evaluation_table(MP.scored_test(spark, sf_dir))
 
 
+@query("model_classification_metrics")
+def q_model_metrics(spark, sf_dir):
+    return metrics.classification_metrics(MP.scored_test(spark, sf_dir))
+
+
+@query("model_roc_auc")
+def q_model_auc(spark, sf_dir):
+    return metrics.roc_auc(MP.scored_test(spark, sf_dir))
+
+
 @query("model_confusion_matrix")
 def q_model_confusion(spark, sf_dir):
     return metrics.confusion_matrix(MP.scored_test(spark, sf_dir))
