@@ -25,16 +25,30 @@ def predicted(prob: str = S.PROB, threshold: float = S.PREDICT_THRESHOLD) -> Col
     return (F.col(prob) > F.lit(threshold)).cast("int")
 
 
-def confusion_counts(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB) -> DataFrame:
-    """One row: n, tp, fp, fn, tn."""
+def score_counts(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB) -> DataFrame:
+    """(score, pos, neg) per distinct score: the one pass over the rows that
+    every metric here is derived from (duplicate scores collapse in the
+    map-side partial aggregate).  Reports that need several metrics build
+    them from the same plan, so the exchange is computed once and reused."""
     y = F.col(label)
-    p = predicted(prob)
-    return df.where(y.isNotNull() & F.col(prob).isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if((y == 1) & (p == 1)).alias("tp"),
-        F.count_if((y == 0) & (p == 1)).alias("fp"),
-        F.count_if((y == 1) & (p == 0)).alias("fn"),
-        F.count_if((y == 0) & (p == 0)).alias("tn"),
+    return (
+        df.where(y.isNotNull() & F.col(prob).isNotNull())
+        .groupBy(F.col(prob).cast("double").alias("score"))
+        .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+    )
+
+
+def confusion_counts(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB) -> DataFrame:
+    """One row: n, tp, fp, fn, tn (predicted class: score > 0.5)."""
+    s = score_counts(df, label, prob)
+    hit = F.col("score") > F.lit(S.PREDICT_THRESHOLD)
+    z = F.lit(0).cast("bigint")
+    return s.agg(
+        F.coalesce(F.sum(F.col("pos") + F.col("neg")), z).alias("n"),
+        F.coalesce(F.sum(F.when(hit, F.col("pos")).otherwise(0)), z).alias("tp"),
+        F.coalesce(F.sum(F.when(hit, F.col("neg")).otherwise(0)), z).alias("fp"),
+        F.coalesce(F.sum(F.when(hit, 0).otherwise(F.col("pos"))), z).alias("fn"),
+        F.coalesce(F.sum(F.when(hit, 0).otherwise(F.col("neg"))), z).alias("tn"),
     )
 
 
@@ -74,12 +88,7 @@ def confusion_matrix(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB) ->
 def _score_points(df: DataFrame, label: str, prob: str, buckets: int) -> DataFrame:
     """Per distinct score (descending order): pos, neg, cumulative tps/fps,
     0-based position idx, the next point's pos/neg, and totals P, N."""
-    y = F.col(label)
-    s = (
-        df.where(y.isNotNull() & F.col(prob).isNotNull())
-        .groupBy(F.col(prob).cast("double").alias("score"))
-        .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    )
+    s = score_counts(df, label, prob)
     # monotone bucket of the score (descending order of scores = descending buckets)
     s = s.withColumn(
         "bucket", F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * buckets).cast("int")
