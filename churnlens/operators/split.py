@@ -1,16 +1,26 @@
 """Exact, repeatable stratified train/test split.
 
-Rows are ordered inside each class by ``md5(id || '#seed')`` (ties by id);
-the first ``round(fraction * class size)`` rows of each class are the test
-set.  So each class contributes exactly its share, the split is disjoint,
-complete and the same on every run and cluster size.
-
-Scale: a global rank per class would put each class on one task.  Instead
-rows are bucketed by the first hex digits of the hash (65,536 buckets per
-class by default).  Per (class, bucket) counts -- at most classes x buckets
-rows, a bound fixed by the parameters, not by the data -- give each bucket
-its rank offset, broadcast back; ranks are then taken only inside
-(class, bucket) groups, which hold about n / (2 x buckets) rows each.
+Rows are ordered inside each class by ``md5(id || '#seed')`` (ties by id,
+then by a hash of the whole row); the first ``round(fraction * class size)``
+rows of each class are the test set.  So each class contributes exactly its
+share, the split is disjoint, complete and the same on every run and
+cluster size.
+
+Scale: a global rank per class would put each class on one task.  Instead:
+
+1. rows collapse to distinct keys (class, hash, id) with a copy count -- a
+   partial aggregate, so a key whose copies are a third of the table costs
+   one row per map task;
+2. keys are bucketed by the first hex digits of the hash (65,536 buckets per
+   class by default); per (class, bucket) row counts -- at most
+   classes x buckets rows, a parameter bound -- give each bucket its rank
+   offset, broadcast back;
+3. keys are ranked inside (class, bucket) by a running sum of copy counts,
+   which decides every key whose copies lie wholly before or after the
+   class's cut;
+4. rows are joined back to their key's decision (AQE splits a skewed key's
+   partition); only the single key per class that straddles the cut needs
+   per-copy ranks, taken in 1,024 salted groups with their own offsets.
 """
 
 from __future__ import annotations
@@ -20,6 +30,8 @@ from pyspark.sql import functions as F
 
 from churnlens import schema as S
 
+SALTS = 1024
+
 
 def split_hash(key: str = S.ID, seed: int = S.SPLIT_SEED):
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
@@ -34,26 +46,56 @@ def stratified_split(
     hex_digits: int = 4,
 ) -> DataFrame:
     """Add ``split`` ('train' / 'test'); rows with a null label are left out."""
+    cols = df.columns
     x = (
         df.where(F.col(label).isNotNull())
-        .withColumn("__h", split_hash(key, seed))
+        .withColumn("__id", F.coalesce(F.col(key).cast("string"), F.lit("")))  # null-safe join key
+        .withColumn("__h", split_hash("__id", seed))
         .withColumn("__b", F.substring("__h", 1, hex_digits))
     )
-    counts = x.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    key = "__id"
+    keys = x.groupBy(label, "__b", "__h", key).agg(F.count(F.lit(1)).alias("__c"))
+    counts = keys.groupBy(label, "__b").agg(F.sum("__c").alias("__n"))
     before = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(label)
     offsets = counts.select(
         label,
         "__b",
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
-        F.round(F.sum("__n").over(whole) * F.lit(test_fraction)).alias("__test_n"),
+        F.round(F.sum("__n").over(Window.partitionBy(label)) * F.lit(test_fraction)).cast("bigint").alias("__test_n"),
     )
     # offsets has at most (classes x 16**hex_digits) rows: a parameter bound
-    y = x.join(F.broadcast(offsets), [label, "__b"])
-    rank = F.col("__off") + F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key))
-    return y.withColumn("split", F.when(rank <= F.col("__test_n"), F.lit("test")).otherwise(F.lit("train"))).drop(
-        "__h", "__b", "__off", "__test_n"
+    in_bucket = (
+        Window.partitionBy(label, "__b").orderBy("__h", key).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    decided = keys.join(F.broadcast(offsets), [label, "__b"]).select(
+        label,
+        "__h",
+        key,
+        "__c",
+        "__test_n",
+        (F.col("__off") + F.coalesce(F.sum("__c").over(in_bucket), F.lit(0))).alias("__start"),
+    ).select(
+        label, "__h", key, "__c", "__test_n",
+        F.least(F.greatest(F.col("__test_n") - F.col("__start"), F.lit(0)), F.col("__c")).alias("__k"),
+    )
+    rows = x.join(decided, [label, "__h", key])
+    whole = rows.where((F.col("__k") == 0) | (F.col("__k") == F.col("__c"))).withColumn(
+        "split", F.when(F.col("__k") > 0, F.lit("test")).otherwise(F.lit("train"))
+    )
+    # the (at most one per class) key whose copies straddle the cut
+    part = rows.where((F.col("__k") > 0) & (F.col("__k") < F.col("__c"))).withColumn(
+        "__r", F.xxhash64(*[F.col(c) for c in cols])
+    ).withColumn("__s", F.pmod(F.col("__r"), F.lit(SALTS)))
+    salt_counts = part.groupBy(label, "__s").agg(F.count(F.lit(1)).alias("__m"))
+    salt_before = Window.partitionBy(label).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    salt_off = salt_counts.select(label, "__s", F.coalesce(F.sum("__m").over(salt_before), F.lit(0)).alias("__so"))
+    idx = F.col("__so") + F.row_number().over(Window.partitionBy(label, "__s").orderBy("__r"))
+    part = (
+        part.join(F.broadcast(salt_off), [label, "__s"])  # <= classes x SALTS rows
+        .withColumn("split", F.when(idx <= F.col("__k"), F.lit("test")).otherwise(F.lit("train")))
     )
+    out = [*cols, "split"]
+    return whole.select(*out).unionByName(part.select(*out))
 
 
 def split_balance(split_df: DataFrame, label: str = S.LABEL) -> DataFrame:

@@ -75,3 +75,18 @@ def test_confusion_matrix_has_all_cells(spark):
     df = _frame(spark, [1, 1], [0.9, 0.8])
     cells = {(r["actual"], r["predicted"]): r["count"] for r in metrics.confusion_matrix(df).collect()}
     assert cells == {(0, 0): 0, (0, 1): 0, (1, 0): 0, (1, 1): 2}
+
+
+def test_split_with_hot_duplicated_key(spark):
+    # one id holds a third of the rows (copies differ in another column)
+    rows = [("hot", i % 2, float(i)) for i in range(3000)] + [(f"c{i}", i % 3 == 0, float(i)) for i in range(6000)]
+    df = spark.createDataFrame([(k, int(y), v) for k, y, v in rows], "customer_id string, churn_label int, v double")
+    sp = split.stratified_split(df).cache()
+    assert sp.count() == len(rows)
+    per = {(r["churn_label"], r["split"]): r["n"] for r in sp.groupBy("churn_label", "split").count().withColumnRenamed("count", "n").collect()}
+    for lab in (0, 1):
+        n = per.get((lab, "test"), 0) + per.get((lab, "train"), 0)
+        assert per.get((lab, "test"), 0) == int(np.floor(n * 0.2 + 0.5))
+    # ids other than the straddling one are wholly in one split
+    mixed = sp.groupBy("customer_id", "churn_label").agg(F.countDistinct("split").alias("k")).where("k > 1").count()
+    assert mixed <= 2
