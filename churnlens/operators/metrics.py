@@ -9,7 +9,7 @@ is ordered:
 * ROC and AUC start from per-distinct-score counts (duplicates collapse in
   the map-side partial aggregate), then take cumulative sums with a
   two-level prefix: fixed score buckets get their offsets from a table of at
-  most ``buckets`` rows (broadcast), and running sums are taken only inside
+  most ``buckets`` rows (65,536 by default; broadcast), and running sums are taken only inside
   a bucket.  No window runs over the whole table in one task.
 """
 
@@ -128,7 +128,7 @@ def _score_points(df: DataFrame, label: str, prob: str, buckets: int) -> DataFra
     )
 
 
-def roc_curve(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB, buckets: int = 4096) -> DataFrame:
+def roc_curve(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB, buckets: int = 65536) -> DataFrame:
     """(threshold, fpr, tpr) with the origin (inf, 0, 0) first.
 
     One point per distinct score, collinear interior points dropped (a point
@@ -152,7 +152,7 @@ def roc_curve(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB, buckets:
     return origin.unionByName(curve)
 
 
-def roc_auc(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB, buckets: int = 4096) -> DataFrame:
+def roc_auc(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB, buckets: int = 65536) -> DataFrame:
     """Area under the ROC curve by the rank-sum formula (ties count half).
 
     AUC = sum over scores of pos x (2 x negatives below + negatives at the

@@ -26,8 +26,8 @@ from churnlens.session import ensure_checkpoint_dir
 _MEMO: dict[tuple, M.FittedModel] = {}
 
 
-def model_key(sf_dir: str, params: M.GBTParams) -> str:
-    raw = input_fingerprint(sf_dir) + "|" + repr(M.params_key(params)) + "|v1"
+def model_key(spark: SparkSession, sf_dir: str, params: M.GBTParams) -> str:
+    raw = input_fingerprint(spark, sf_dir) + "|" + repr(M.params_key(params)) + "|v1"
     return hashlib.sha1(raw.encode()).hexdigest()[:20]
 
 
@@ -44,7 +44,7 @@ def fitted(
     spark: SparkSession, sf_dir: str, params: M.GBTParams = M.GBTParams(), refresh: bool = False
 ) -> M.FittedModel:
     """The fitted model for this input and parameters (``refresh`` retrains)."""
-    key = model_key(sf_dir, params)
+    key = model_key(spark, sf_dir, params)
     memo = (spark.sparkContext.applicationId, key)
     if memo in _MEMO and not refresh:
         return _MEMO[memo]
@@ -72,7 +72,7 @@ def fitted(
 
 
 def _store(spark: SparkSession, sf_dir: str, params: M.GBTParams) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "churnlens-models", model_key(sf_dir, params))
+    return os.path.join(ensure_checkpoint_dir(spark), "churnlens-models", model_key(spark, sf_dir, params))
 
 
 def scored_all(spark: SparkSession, sf_dir: str, params: M.GBTParams = M.GBTParams()) -> DataFrame:

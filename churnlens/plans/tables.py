@@ -8,9 +8,6 @@ memoised per Spark application and input fingerprint.
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlens.operators.features import enrich
@@ -20,20 +17,30 @@ INPUT_TABLES = ("customer", "orders")
 _PLANS: dict[tuple, DataFrame] = {}
 
 
-def input_fingerprint(sf_dir: str) -> str:
+def input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Paths, sizes and modification times of the input tables' files.
+
+    Listed through the Hadoop FileSystem of the session, so it works the
+    same for local, HDFS and object-store paths (metadata only, no data read).
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     parts = []
     for t in INPUT_TABLES:
-        for p in sorted(glob.glob(f"{sf_dir}/{t}.parquet*")) or [f"{sf_dir}/{t}.parquet"]:
-            try:
-                st = os.stat(p)
-                parts.append(f"{os.path.abspath(p)}:{st.st_size}:{int(st.st_mtime)}")
-            except OSError:
-                parts.append(p)
-    return "|".join(parts)
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = path.getFileSystem(conf)
+        try:
+            it = fs.listFiles(path, True)
+            while it.hasNext():
+                st = it.next()
+                parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+        except Exception:  # noqa: BLE001 - missing table: the query itself reports it
+            parts.append(f"{sf_dir}/{t}.parquet:missing")
+    return "|".join(sorted(parts))
 
 
 def _memo(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
-    key = (spark.sparkContext.applicationId, kind, input_fingerprint(sf_dir))
+    key = (spark.sparkContext.applicationId, kind, input_fingerprint(spark, sf_dir))
     df = _PLANS.get(key)
     if df is None:
         df = _PLANS[key] = build()
