@@ -21,6 +21,14 @@ Scale: a global rank per class would put each class on one task.  Instead:
 4. rows are joined back to their key's decision (AQE splits a skewed key's
    partition); only the single key per class that straddles the cut needs
    per-copy ranks, taken in 1,024 salted groups with their own offsets.
+
+Steps 1-4 cost more stages than ranking rows directly inside
+(class, bucket) windows, which is safe whenever no id has very many copies
+(each window group then holds about n / (2 x 65,536) rows plus the copies of
+one id).  ``stratified_split`` therefore estimates the largest copy count of
+an id from a bounded sample (exact up to 2M rows) and uses the direct
+ranking unless a hot id is seen.  Both paths give the same exact split; a
+missed hot id only costs time.
 """
 
 from __future__ import annotations
@@ -37,6 +45,22 @@ def split_hash(key: str = S.ID, seed: int = S.SPLIT_SEED):
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
 
 
+HOT_COPIES = 100_000
+SAMPLE_ROWS = 2_000_000
+
+
+def max_copies_estimate(df: DataFrame, key: str, sample_rows: int = SAMPLE_ROWS) -> float:
+    """Largest number of rows sharing one ``key``, estimated from a sample of
+    about ``sample_rows`` rows (exact when the table is that small)."""
+    n = df.count()
+    if n == 0:
+        return 0.0
+    frac = min(1.0, sample_rows / n)
+    part = df.select(key) if frac >= 1.0 else df.select(key).sample(fraction=frac, seed=S.SPLIT_SEED)
+    top = part.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    return top / frac
+
+
 def stratified_split(
     df: DataFrame,
     label: str = S.LABEL,
@@ -44,26 +68,53 @@ def stratified_split(
     test_fraction: float = S.SPLIT_TEST_FRACTION,
     seed: int = S.SPLIT_SEED,
     hex_digits: int = 4,
+    hot_copies: int | None = HOT_COPIES,
 ) -> DataFrame:
-    """Add ``split`` ('train' / 'test'); rows with a null label are left out."""
+    """Add ``split`` ('train' / 'test'); rows with a null label are left out.
+
+    ``hot_copies``: ids with more copies than this take the key-weighted
+    path (``None`` forces that path; a very large value forces the direct path).
+    """
     cols = df.columns
     x = (
         df.where(F.col(label).isNotNull())
-        .withColumn("__id", F.coalesce(F.col(key).cast("string"), F.lit("")))  # null-safe join key
+        .withColumn("__id", F.coalesce(F.col(key).cast("string"), F.lit("")))  # null-safe key
         .withColumn("__h", split_hash("__id", seed))
         .withColumn("__b", F.substring("__h", 1, hex_digits))
     )
-    key = "__id"
-    keys = x.groupBy(label, "__b", "__h", key).agg(F.count(F.lit(1)).alias("__c"))
-    counts = keys.groupBy(label, "__b").agg(F.sum("__c").alias("__n"))
+    if hot_copies is not None and max_copies_estimate(x, "__id") <= hot_copies / 2:
+        return _split_direct(x, cols, label, test_fraction)
+    return _split_weighted(x, cols, label, test_fraction)
+
+
+def _bucket_offsets(counts: DataFrame, label: str, test_fraction: float, n_col: str) -> DataFrame:
+    """Per (class, bucket): rows before the bucket and the class's test size.
+    At most classes x 16**hex_digits rows: a parameter bound, broadcast."""
     before = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    return counts.select(
         label,
         "__b",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
-        F.round(F.sum("__n").over(Window.partitionBy(label)) * F.lit(test_fraction)).cast("bigint").alias("__test_n"),
+        F.coalesce(F.sum(n_col).over(before), F.lit(0)).alias("__off"),
+        F.round(F.sum(n_col).over(Window.partitionBy(label)) * F.lit(test_fraction)).cast("bigint").alias("__test_n"),
     )
-    # offsets has at most (classes x 16**hex_digits) rows: a parameter bound
+
+
+def _split_direct(x: DataFrame, cols: list[str], label: str, test_fraction: float) -> DataFrame:
+    """Rank rows inside (class, bucket) windows ordered by (hash, id)."""
+    counts = x.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    y = x.join(F.broadcast(_bucket_offsets(counts, label, test_fraction, "__n")), [label, "__b"])
+    rank = F.col("__off") + F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", "__id"))
+    return y.withColumn("split", F.when(rank <= F.col("__test_n"), F.lit("test")).otherwise(F.lit("train"))).select(
+        *cols, "split"
+    )
+
+
+def _split_weighted(x: DataFrame, cols: list[str], label: str, test_fraction: float) -> DataFrame:
+    """Rank distinct keys by running copy counts; salt the straddling key."""
+    key = "__id"
+    keys = x.groupBy(label, "__b", "__h", key).agg(F.count(F.lit(1)).alias("__c"))
+    counts = keys.groupBy(label, "__b").agg(F.sum("__c").alias("__n"))
+    offsets = _bucket_offsets(counts, label, test_fraction, "__n")
     in_bucket = (
         Window.partitionBy(label, "__b").orderBy("__h", key).rowsBetween(Window.unboundedPreceding, -1)
     )

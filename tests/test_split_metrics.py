@@ -19,11 +19,14 @@ def test_split_exact_per_class(spark):
     assert sp.count() == df.count() == sp.select(S.ID).distinct().count()
 
 
-def test_split_independent_of_bucketing(spark):
+def test_split_independent_of_bucketing_and_path(spark):
     df = MP.subscribers(spark, SF_CHECK)
     a = split.stratified_split(df, hex_digits=1).select(S.ID, F.col("split").alias("a"))
     b = split.stratified_split(df, hex_digits=4).select(S.ID, F.col("split").alias("b"))
-    assert a.join(b, S.ID).where("a <> b").count() == 0
+    c = split.stratified_split(df, hot_copies=None).select(S.ID, F.col("split").alias("c"))
+    j = a.join(b, S.ID).join(c, S.ID)
+    assert j.count() == df.count()
+    assert j.where("a <> b OR a <> c").count() == 0
 
 
 def _frame(spark, labels, probs):
@@ -77,11 +80,12 @@ def test_confusion_matrix_has_all_cells(spark):
     assert cells == {(0, 0): 0, (0, 1): 0, (1, 0): 0, (1, 1): 2}
 
 
-def test_split_with_hot_duplicated_key(spark):
+@pytest.mark.parametrize("hot", [None, 10**9])
+def test_split_with_hot_duplicated_key(spark, hot):
     # one id holds a third of the rows (copies differ in another column)
     rows = [("hot", i % 2, float(i)) for i in range(3000)] + [(f"c{i}", i % 3 == 0, float(i)) for i in range(6000)]
     df = spark.createDataFrame([(k, int(y), v) for k, y, v in rows], "customer_id string, churn_label int, v double")
-    sp = split.stratified_split(df).cache()
+    sp = split.stratified_split(df, hot_copies=hot).cache()
     assert sp.count() == len(rows)
     per = {(r["churn_label"], r["split"]): r["n"] for r in sp.groupBy("churn_label", "split").count().withColumnRenamed("count", "n").collect()}
     for lab in (0, 1):
