@@ -375,3 +375,11 @@ SELECT customer_id, """ + ",\n       ".join(
     f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'nan')) - 1 AS INTEGER) AS {c}" for c in _CATS
 ) + """
 FROM feat"""
+
+SQL["plan_action_text"] = _PLAN + """
+SELECT segment_id, segment, action_items FROM pl"""
+
+SQL["service_display_name"] = FEAT + _SERVICE_LONG + """
+SELECT DISTINCT service, replace(replace(title, 'Streaming', 'Stream.'), 'Online', 'Onl.') AS display_name,
+       lower(title) AS file_key
+FROM sr"""

@@ -353,3 +353,17 @@ def q_export_results(spark, sf_dir):
         "high_risk_customers": retention.high_risk_extract(scored, model.features),
     }
     return export_results(tables, scratch_path(spark, "export"))
+
+
+@query("plan_action_text")
+def q_plan_action_text(spark, sf_dir):
+    """Action items of the plan rows present in the data, joined with '; '."""
+    return retention.retention_plan(sc(spark, sf_dir)).select("segment_id", "segment", "action_items")
+
+
+@query("service_display_name")
+def q_service_display_name(spark, sf_dir):
+    """Short chart label and file key of every service seen with a Yes/No level."""
+    return descriptive.service_churn_rate(feat(spark, sf_dir, totals=False)).select(
+        "service", "display_name", "file_key"
+    ).distinct()
