@@ -10,6 +10,7 @@ from churnlens.functions.columns import (  # noqa: F401
     high_value,
     is_yes,
     label_map,
+    literal_table,
     lenient_double,
     money_text,
     pct_text,

@@ -143,3 +143,20 @@ def money_text(c: str | Column) -> Column:
 def count_text(c: str | Column) -> Column:
     """Integer -> '1,124'."""
     return F.format_number(_col(c), 0)
+
+
+def literal_table(spark, columns: Sequence[str], rows: Sequence[tuple]):
+    """A small constant table built on the JVM (one-row range + ``inline``).
+
+    ``createDataFrame`` on a Python list plans as a scan of a Python RDD,
+    which needs Python workers to run; constant dimension tables (bins,
+    plan text) do not.
+    """
+
+    def lit(v):
+        if isinstance(v, (list, tuple)):
+            return F.array(*[F.lit(x) for x in v])
+        return F.lit(v)
+
+    structs = [F.struct(*[lit(v).alias(c) for c, v in zip(columns, r)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

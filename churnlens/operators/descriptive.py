@@ -29,8 +29,7 @@ def _rate(yes: Column, n: Column) -> Column:
 
 
 def _bin_dimension(df: DataFrame, key: str, labels: list[str]) -> DataFrame:
-    spark = df.sparkSession
-    return spark.createDataFrame([(lab, i) for i, lab in enumerate(labels)], f"{key} string, {key}_order int")
+    return fn.literal_table(df.sparkSession, [key, f"{key}_order"], [(lab, i) for i, lab in enumerate(labels)])
 
 
 def churn_distribution(df: DataFrame) -> DataFrame:

@@ -62,12 +62,8 @@ def retention_segments(scored: DataFrame) -> DataFrame:
 
 def plan_dimension(spark) -> DataFrame:
     """The fixed plan text, action items joined with '; '."""
-    rows = [(i, seg, strat, items, imp, cost, roi) for i, seg, strat, items, imp, cost, roi in S.RETENTION_PLAN]
-    df = spark.createDataFrame(
-        rows,
-        "segment_id int, segment string, strategy string, action_list array<string>, "
-        "expected_impact string, cost_per_customer string, roi string",
-    )
+    cols = ["segment_id", "segment", "strategy", "action_list", "expected_impact", "cost_per_customer", "roi"]
+    df = fn.literal_table(spark, cols, S.RETENTION_PLAN)
     return df.withColumn("action_items", F.concat_ws(S.ACTION_SEPARATOR, "action_list")).drop("action_list")
 
 

@@ -40,7 +40,7 @@ def _with_padding(long: DataFrame, dims: list[str]) -> DataFrame:
     long = long.withColumn("__real", F.lit(True))
     if not rows:
         return long
-    pad = long.sparkSession.createDataFrame(rows, "dimension string, level string").select(
+    pad = fn.literal_table(long.sparkSession, ["dimension", "level"], rows).select(
         F.lit(None).cast("string").alias(S.ID),
         F.lit(None).cast("string").alias(S.CHURN),
         F.lit(None).cast("double").alias(S.PROB),
