@@ -24,7 +24,7 @@ def _svc(k: Column, internet: Column, mod: int, below: int) -> Column:
 
 
 def subscriber_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer with the reference's subscriber columns.
+    """One row per customer with the subscriber columns of the analysed workflow.
 
     Plan: ``orders`` is filtered (pushed to the scan) and pre-aggregated per
     customer (partial + final hash aggregate, so a customer holding a third
