@@ -22,6 +22,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import astuple, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
@@ -140,8 +141,13 @@ def train(df: DataFrame, train_rows: DataFrame, params: GBTParams = GBTParams())
         cacheNodeIds=False,
         checkpointInterval=10,
     )
-    prepared = encoder.transform(train_rows)
-    tail = Pipeline(stages=[assembler, gbt]).fit(prepared.repartition(training_partitions(prepared)))
+    # computed once for the row count and the learner; a lost executor only
+    # recomputes its own cached blocks
+    prepared = encoder.transform(train_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        tail = Pipeline(stages=[assembler, gbt]).fit(prepared.repartition(training_partitions(prepared)))
+    finally:
+        prepared.unpersist()
     return FittedModel(PipelineModel(stages=encoder.stages + tail.stages), features)
 
 
