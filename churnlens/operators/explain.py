@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from churnlens import schema as S
 from churnlens.session import scratch_path
 
-LEAF_BLOCK = 2048
-ROW_BLOCK = 256
+LEAF_BLOCK = 1024
+ROW_BLOCK = 64
 
 
 def _leaf_tables(spark, gbt_model, n_features: int):
@@ -122,25 +122,25 @@ def _shap_block(x: np.ndarray, tables: dict, n_features: int) -> np.ndarray:
             L = len(v)
             xv = xt[feat]  # L x m x R
             o = ((xv > lo[:, :, None]) & (xv <= hi[:, :, None])).astype(np.float64)
-            zz = np.broadcast_to(z[:, :, None], o.shape)
             # coefficients of prod_j (z_j + o_j t): L x (m+1) x R
             c = np.zeros((L, m + 1, R))
             c[:, 0, :] = 1.0
             for j in range(m):
-                nxt = c * zz[:, j : j + 1, :]
+                zj = z[:, j, None, None]
+                nxt = c * zj
                 nxt[:, 1:, :] += c[:, :-1, :] * o[:, j : j + 1, :]
                 c = nxt
+            w_all = np.einsum("k,lkr->lr", wk, c[:, :m, :])  # sum_k w_k c_k
             for u in range(m):
-                zu, ou = zz[:, u, :], o[:, u, :]
-                # o_u = 1: divide by (z_u + t) from the top coefficient down
-                q1 = np.empty((L, m, R))
-                q1[:, m - 1, :] = c[:, m, :]
+                zu, ou = z[:, u, None], o[:, u, :]
+                # o_u = 1: divide by (z_u + t), accumulating sum_k w_k q_k from the top
+                q = c[:, m, :]
+                w1 = wk[m - 1] * q
                 for k in range(m - 1, 0, -1):
-                    q1[:, k - 1, :] = c[:, k, :] - zu * q1[:, k, :]
+                    q = c[:, k, :] - zu * q
+                    w1 = w1 + wk[k - 1] * q
                 # o_u = 0: divide by z_u
-                q0 = c[:, :m, :] / zu[:, None, :]
-                q = np.where(ou[:, None, :] > 0, q1, q0)
-                wsum = np.einsum("k,lkr->lr", wk, q)
+                wsum = np.where(ou > 0, w1, w_all / zu)
                 contrib = v[:, None] * (ou - zu) * wsum  # L x R
                 onehot = np.zeros((n_features, L))
                 onehot[feat[:, u], np.arange(L)] = 1.0
