@@ -3,6 +3,7 @@
 import re
 
 import __spark_entry__ as E
+from churnlens import schema as S
 
 from conftest import SF_CHECK
 
@@ -21,7 +22,9 @@ def _scans(text: str) -> int:
 
 
 def test_orders_filter_pushed_and_columns_pruned(spark):
-    df = E.queries()["tenure_churn_rate"](spark, SF_CHECK)
+    from churnlens.sources.subscribers import subscriber_view
+
+    df = subscriber_view(spark, SF_CHECK).groupBy("tenure").count()
     text = _formatted(df)
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)" in text
     assert "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string,o_orderdate:timestamp_ntz>" in text
@@ -30,14 +33,22 @@ def test_orders_filter_pushed_and_columns_pruned(spark):
 
 def test_service_rates_scan_each_table_once(spark):
     text = _formatted(E.queries()["service_churn_rate"](spark, SF_CHECK))
-    assert _scans(text) == 2  # customer once, orders once (six services via Expand)
+    assert _scans(text) == 1  # the subscriber table once (six services via Expand)
     assert "Expand" in text
+    schema = [ln for ln in text.splitlines() if ln.startswith("ReadSchema")][0]
+    cols = set(re.findall(r"(\w+):string", schema))
+    assert cols == {"churn", *S.SERVICE_COLUMNS}  # pruned to the 7 needed columns
+
+
+def test_reports_read_the_written_subscriber_table(spark):
+    text = _formatted(E.queries()["tenure_churn_rate"](spark, SF_CHECK))
+    assert _scans(text) == 1 and "churnlens-tables" in text
+    assert "o_orderdate" not in text  # no orders aggregate per report
 
 
 def test_segment_profile_single_pass(spark):
     text = _formatted(E.queries()["segment_profile"](spark, SF_CHECK))
-    # one customer/orders scan pair for the five dimensions (+1 pair for the median jobs is not in the plan)
-    assert _scans(text) == 2
+    assert _scans(text) == 1  # one scan for the five dimensions
 
 
 def test_high_risk_extract_is_top_k(spark):
@@ -54,4 +65,4 @@ def test_split_offsets_broadcast(spark):
 def test_retention_plan_dimension_broadcast(spark):
     text = _formatted(E.queries()["retention_plan"](spark, SF_CHECK))
     assert "BroadcastExchange" in text
-    assert _scans(text) == 2
+    assert _scans(text) == 1
