@@ -2,12 +2,20 @@
 
 import re
 
+import pytest
+
 import __spark_entry__ as E
 from churnlens import schema as S
 
 from conftest import SF_CHECK
 
 
+@pytest.fixture(autouse=True)
+def _no_cached_tables(spark):
+    # other test modules cache shared tables; plans here must show the scans
+    spark.catalog.clearCache()
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
