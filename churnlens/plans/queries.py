@@ -132,13 +132,7 @@ for _name in [
 # ---- scorecard: fixture score standing in for a model probability ---------
 from churnlens.operators import metrics, retention, segments, split  # noqa: E402
 from churnlens.operators.features import scorecard  # noqa: E402
-
-NON_FEATURES = {S.ID, S.CHURN, S.LABEL, "k", "score", S.TOTAL_RAW, S.PROB, S.PRED, S.RISK_BAND, "split"}
-
-
-def feature_columns(df: DataFrame) -> list[str]:
-    """Model inputs: every column except id, label and bookkeeping columns."""
-    return [c for c in df.columns if c not in NON_FEATURES]
+from churnlens.operators.model import feature_columns  # noqa: E402
 
 
 def sc(spark: SparkSession, sf_dir: str) -> DataFrame:
