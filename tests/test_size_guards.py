@@ -41,3 +41,19 @@ def test_tree_table_bound(spark):
     tables, base = X._leaf_tables(spark, gbt, 1)
     leaves = sum(len(t["v"]) for t in tables.values())
     assert leaves <= 3 * 2 ** 2
+
+
+def test_model_key_follows_input_files(spark, tmp_path):
+    import shutil
+
+    from churnlens.operators.model import GBTParams
+    from churnlens.plans.modelling import model_key
+
+    src = "/root/testdata/sf0.001"
+    for t in ("customer", "orders"):
+        shutil.copy(f"{src}/{t}.parquet", tmp_path / f"{t}.parquet")
+    k1 = model_key(spark, str(tmp_path), GBTParams())
+    assert k1 == model_key(spark, str(tmp_path), GBTParams())
+    assert k1 != model_key(spark, str(tmp_path), GBTParams(rounds=10))
+    spark.read.parquet(f"{src}/orders.parquet").limit(10).write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
+    assert k1 != model_key(spark, str(tmp_path), GBTParams())
