@@ -49,25 +49,27 @@ def _leaf_tables(spark, gbt_model, n_features: int):
         "treeID",
         F.col("nodeData.id").alias("id"),
         F.col("nodeData.prediction").alias("pred"),
-        F.col("nodeData.rawCount").alias("cover"),
+        F.col("nodeData.rawCount").cast("double").alias("cover"),
         F.col("nodeData.leftChild").alias("left"),
         F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feat"),
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr"),
+        F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("thr"),  # leaves: empty
         F.col("nodeData.split.numCategories").alias("ncat"),
     )
     weights = list(gbt_model.treeWeights)
     depth = gbt_model.getOrDefault("maxDepth")
     bound = len(weights) * (2 ** (depth + 1) - 1)
-    n_nodes = nodes.count()
-    if n_nodes > bound:
-        raise AssertionError(f"{n_nodes} tree nodes exceed the parameter bound {bound}")
+    # flat scalar columns through Arrow; size bounded by `bound` (model size)
+    pdf = nodes.limit(bound + 1).toPandas()
+    if len(pdf) > bound:
+        raise AssertionError(f"tree nodes exceed the parameter bound {bound}")
+    if (pdf["ncat"].fillna(-1) > 0).any():
+        raise ValueError("categorical splits are not expected (codes are ordered features)")
     trees: dict[int, dict[int, tuple]] = defaultdict(dict)
-    for r in nodes.collect():  # bounded by `bound` (model size)
-        if r["ncat"] is not None and r["ncat"] > 0:
-            raise ValueError("categorical splits are not expected (codes are ordered features)")
-        thr = r["thr"][0] if r["thr"] else None
-        trees[r["treeID"]][r["id"]] = (r["pred"], float(r["cover"]), r["left"], r["right"], r["feat"], thr)
+    for t, i, pred, cover, left, right, feat, thr in zip(
+        pdf["treeID"], pdf["id"], pdf["pred"], pdf["cover"], pdf["left"], pdf["right"], pdf["feat"], pdf["thr"]
+    ):
+        trees[int(t)][int(i)] = (float(pred), float(cover), int(left), int(right), int(feat), float(thr))
 
     groups: dict[int, dict[str, list]] = defaultdict(lambda: defaultdict(list))
     base = 0.0
