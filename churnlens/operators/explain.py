@@ -41,8 +41,19 @@ LEAF_BLOCK = 1024
 ROW_BLOCK = 64
 
 
+_TABLES: dict[tuple, tuple] = {}
+
+
 def _leaf_tables(spark, gbt_model, n_features: int):
-    """Leaf paths grouped by number of distinct features, plus the base value."""
+    """Leaf paths grouped by number of distinct features, plus the base value
+    (built once per model instance and application)."""
+    key = (spark.sparkContext.applicationId, gbt_model.uid, n_features)
+    if key not in _TABLES:
+        _TABLES[key] = _build_leaf_tables(spark, gbt_model, n_features)
+    return _TABLES[key]
+
+
+def _build_leaf_tables(spark, gbt_model, n_features: int):
     path = scratch_path(spark, "trees")
     gbt_model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data").select(
