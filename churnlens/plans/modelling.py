@@ -26,8 +26,22 @@ from churnlens.session import ensure_checkpoint_dir
 _MEMO: dict[tuple, M.FittedModel] = {}
 
 
+def _code_version() -> str:
+    """Hash of the code that defines the model's inputs and the learner, so a
+    stored model is never reused after that code changes."""
+    import inspect
+
+    from churnlens import schema
+    from churnlens.functions import columns
+    from churnlens.operators import clean, features
+    from churnlens.sources import subscribers
+
+    text = "".join(inspect.getsource(m) for m in (schema, columns, clean, features, M, split, subscribers))
+    return hashlib.sha1(text.encode()).hexdigest()[:12]
+
+
 def model_key(spark: SparkSession, sf_dir: str, params: M.GBTParams) -> str:
-    raw = input_fingerprint(spark, sf_dir) + "|" + repr(M.params_key(params)) + "|v1"
+    raw = input_fingerprint(spark, sf_dir) + "|" + repr(M.params_key(params)) + "|" + _code_version()
     return hashlib.sha1(raw.encode()).hexdigest()[:20]
 
 
