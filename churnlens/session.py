@@ -67,3 +67,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"churnlens-{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application.
+
+    Python code in tasks imports ``churnlens``; a cluster whose workers do
+    not have it installed gets it as a zip through ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    if root.suffix != ".zip" and root.is_dir():
+        target = os.path.join(tempfile.mkdtemp(prefix="churnlens-code-"), "churnlens_code.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, f"churnlens/{p.relative_to(root)}")
+        sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
