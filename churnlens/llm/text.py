@@ -77,12 +77,15 @@ class Words:
         return self.span_hash(self.start, self.end)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """``data``: UTF-8 bytes of all documents, ``offsets``: n + 1 positions in it."""
+def words_of(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> Words:
+    """``data``: UTF-8 bytes of all documents, ``offsets``: n + 1 positions in it.
+
+    ``separators``: 256 flags of the bytes that end a word.
+    """
     n = len(data)
     low = _LOWER[data]
     word = np.zeros(n + 2, np.int8)
-    word[1:-1] = ~_SPACE[data]
+    word[1:-1] = ~separators[data]
     # a document boundary ends a word even without white space
     edge = np.diff(word)
     begins, ends = edge[:-1] == 1, edge[1:] == -1
