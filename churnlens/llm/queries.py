@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import ann, chat, mixing, neardup, quality, substring, toxicity, url_filter
+from churnlens.llm import ann, chat, decontaminate, mixing, neardup, quality, substring, toxicity, url_filter
 from churnlens.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(chat.with_added(table(spark, sf_dir, "conversations"))))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_mixing": op4_mixing,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
