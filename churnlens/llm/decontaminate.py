@@ -22,6 +22,11 @@ Distribution: the benchmark is the query set.  It is cut into blocks of
 to all tasks, which read the documents in one narrow map; a larger benchmark
 means more blocks, not a larger broadcast.
 
+Normal form: texts and items are lower-cased (all letters) and ASCII
+punctuation separates words like white space does, so a passage in capitals
+or with noise signs between its words is still the passage.  Word positions
+in results count words of this form.
+
 Defined cases: null or empty texts match nothing; items with fewer than five
 words are one shingle, their whole word sequence, and match only documents
 that consist of it; rows that share an item_id with different texts are
@@ -49,6 +54,14 @@ ITEMS = 4096
 ITEM_BYTES = 16 << 20
 
 
+_SEPARATORS = np.ones(256, bool)
+_SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> T.Words:
+    return T.words_of(data, offsets, _SEPARATORS)
+
+
 def _bits(h: np.ndarray) -> np.ndarray:
     """+1 / -1 in 128 columns for every shingle hash."""
     two = np.stack((h, T.mix64(h ^ np.uint64(0xC2B2AE3D27D4EB4F))), axis=1)
@@ -71,7 +84,7 @@ class Index:
         self.short: dict[int, list[int]] = defaultdict(list)
         for item, text in zip(ids, texts):
             raw = np.frombuffer((text or "").encode(), np.uint8)
-            x = T.words_of(raw, np.array([0, len(raw)]))
+            x = _words(raw, np.array([0, len(raw)]))
             sh, _ = T.shingles_of(x.hashes(), x.first, K)
             if not len(sh):
                 continue
@@ -189,7 +202,7 @@ class Index:
 def _index_blocks(benchmark: DataFrame) -> list[Index]:
     """Indexes of blocks of items.  The blocks are read one after another; each is bounded by the parameters."""
     items = (
-        benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+        benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
         .where("text is not null")
         .distinct()
         .orderBy("item_id", "text")
@@ -203,7 +216,7 @@ def _index_blocks(benchmark: DataFrame) -> list[Index]:
         counts: dict[int, int] = defaultdict(int)
         for t in texts:
             raw = np.frombuffer(t.encode(), np.uint8)
-            x = T.words_of(raw, np.array([0, len(raw)]))
+            x = _words(raw, np.array([0, len(raw)]))
             for h in np.unique(T.shingles_of(x.hashes(), x.first, K)[0]).tolist():
                 counts[h] += 1
         return Index(ids, texts, len(rs), counts)
@@ -224,7 +237,7 @@ LEAK = "doc_id long, item_id long, start_word int, end_word int, similarity doub
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for every (document, item) found, with the best window and its similarity."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     out = None
     for index in _index_blocks(benchmark):
         shared = spark.sparkContext.broadcast(index)
@@ -235,7 +248,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids = b.column("doc_id")
                 rows = []
                 for i, j, data, offsets in T.text_chunks(b.column("text")):
-                    x = T.words_of(data, offsets)
+                    x = _words(data, offsets)
                     sh, off = T.shingles_of(x.hashes(), x.first, K)
                     counts = np.diff(x.first)
                     if index.short:

@@ -64,10 +64,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """Every row's ``doc_id, source, size, source_size, target, taken`` (taken may be 0)."""
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry=("doc_id",)) -> DataFrame:
+    """Every row's ``carry`` columns and ``source, size, source_size, target, taken`` (taken may be 0).
+
+    With the text among ``carry`` the result is the mix itself: a document
+    counts ``taken / size`` times, the last time up to its first words only.
+    """
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"#{seed}")))
     rows = docs.select(
+        F.struct(*carry).alias("row"),
         F.col("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -91,7 +96,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     rest = budget - epochs * F.col("source_size") - start
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    carried = [F.col("row")[c].alias(c) for c in carry if c != "source"]
+    return joined.select(*carried, "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 #: The same mix in DuckDB SQL (independent statement for the check).
