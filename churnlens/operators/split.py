@@ -1,34 +1,23 @@
-"""Exact, repeatable stratified train/test split.
-
-Rows are ordered inside each class by ``md5(id || '#seed')`` (ties by id,
-then by a hash of the whole row); the first ``round(fraction * class size)``
-rows of each class are the test set.  So each class contributes exactly its
-share, the split is disjoint, complete and the same on every run and
-cluster size.
-
-Scale: a global rank per class would put each class on one task.  Instead:
-
-1. rows collapse to distinct keys (class, hash, id) with a copy count -- a
-   partial aggregate, so a key whose copies are a third of the table costs
-   one row per map task;
-2. keys are bucketed by the first hex digits of the hash (65,536 buckets per
-   class by default); per (class, bucket) row counts -- at most
-   classes x buckets rows, a parameter bound -- give each bucket its rank
-   offset, broadcast back;
-3. keys are ranked inside (class, bucket) by a running sum of copy counts,
-   which decides every key whose copies lie wholly before or after the
-   class's cut;
-4. rows are joined back to their key's decision (AQE splits a skewed key's
-   partition); only the single key per class that straddles the cut needs
-   per-copy ranks, taken in 1,024 salted groups with their own offsets.
-
-Steps 1-4 cost more stages than ranking rows directly inside
-(class, bucket) windows, which is safe whenever no id has very many copies
-(each window group then holds about n / (2 x 65,536) rows plus the copies of
-one id).  ``stratified_split`` therefore estimates the largest copy count of
-an id from a bounded sample (exact up to 2M rows) and uses the direct
-ranking unless a hot id is seen.  Both paths give the same exact split; a
-missed hot id only costs time.
+"""Exact, repeatable stratified train/test split by one cut point per class.
+
+Rows are ordered inside each class by ``md5(id || '#seed')``, then by a hash
+of the whole row; the first ``round(fraction * class size)`` rows of each
+class are the test set.  So each class contributes exactly its share, and the
+split is the same for every partitioning, cluster and table size.
+
+The rows themselves are never shuffled or ranked.  Per class only the one key
+at which the cut falls is looked for: rows are counted by the leading digits
+of their key (map-side combined), the bucket that holds the cut is kept, and
+the search goes on among its next digits until the bucket holds one key or
+few rows (``FINISH_ROWS``, a bound on what is ordered at the end, not on the
+data).  All rows are then labelled by comparing their key with the cut in one
+narrow map.  Copies that agree in every column cannot be told apart; where
+the cut falls among them they are counted and written out again, as many in
+test and train as needed, so a third of the table in one copied row is one
+row per map task.
+
+Rows with a null label are kept with a null ``split``; a null id counts as
+the empty text; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -38,27 +27,56 @@ from pyspark.sql import functions as F
 
 from churnlens import schema as S
 
-SALTS = 1024
+FINISH_ROWS = 20_000
+DIGITS = 4
+COPIES_PER_ROW = 10_000
 
 
 def split_hash(key: str = S.ID, seed: int = S.SPLIT_SEED):
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
-
-
-HOT_COPIES = 100_000
-SAMPLE_ROWS = 2_000_000
-
-
-def max_copies_estimate(df: DataFrame, key: str, sample_rows: int = SAMPLE_ROWS) -> float:
-    """Largest number of rows sharing one ``key``, estimated from a sample of
-    about ``sample_rows`` rows (exact when the table is that small)."""
-    n = df.count()
-    if n == 0:
-        return 0.0
-    frac = min(1.0, sample_rows / n)
-    part = df.select(key) if frac >= 1.0 else df.select(key).sample(fraction=frac, seed=S.SPLIT_SEED)
-    top = part.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    return top / frac
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f"#{seed}")))
+
+
+def _cut_points(x: DataFrame, label: str, test_fraction: float, digits: int, finish_rows: int) -> dict:
+    """Per class: (key at the cut, test copies of that key's rows); None where a class has no test rows."""
+    sizes = {r[0]: r["n"] for r in x.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Decimal-free half-up rounding, as in the SQL statement of the split
+    wanted = {c: int(test_fraction * n + 0.5) for c, n in sizes.items()}
+    todo = {c: ("", k) for c, k in wanted.items() if k > 0}  # class -> (known digits, rank among the keys that have them)
+    out: dict = {c: None for c in sizes}
+    while todo:
+        inside = F.lit(False)
+        for c, (known, _) in todo.items():
+            inside = inside | ((F.col(label) == F.lit(c)) & F.col("__key").startswith(known))
+        depth = {c: len(known) for c, (known, _) in todo.items()}
+        n_known = F.coalesce(*[F.when(F.col(label) == F.lit(c), F.lit(d)) for c, d in depth.items()])
+        rank = F.coalesce(*[F.when(F.col(label) == F.lit(c), F.lit(k)) for c, (_, k) in todo.items()])
+        counts = (
+            x.where(inside)
+            .groupBy(label, F.col("__key").substr(F.lit(1), n_known + digits).alias("part"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("__key").alias("lo"), F.max("__key").alias("hi"))
+        )
+        # at most classes x 16 ** digits rows
+        run = Window.partitionBy(label).orderBy("part")
+        found = (
+            counts.withColumn("upto", F.sum("n").over(run))
+            .where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank))
+            .collect()
+        )
+        for r in found:
+            c = r[label]
+            left = todo.pop(c)[1] - (r["upto"] - r["n"])
+            if r["lo"] == r["hi"]:
+                out[c] = (r["lo"], left)
+            elif r["n"] <= finish_rows:
+                keys = x.where((F.col(label) == F.lit(c)) & F.col("__key").startswith(r["part"])).groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
+                for row in sorted(keys.collect(), key=lambda q: q["__key"]):
+                    if left <= row["n"]:
+                        out[c] = (row["__key"], left)
+                        break
+                    left -= row["n"]
+            else:
+                todo[c] = (r["part"], left)
+    return out
 
 
 def stratified_split(
@@ -67,90 +85,43 @@ def stratified_split(
     key: str = S.ID,
     test_fraction: float = S.SPLIT_TEST_FRACTION,
     seed: int = S.SPLIT_SEED,
-    hex_digits: int = 4,
-    hot_copies: int | None = HOT_COPIES,
+    digits: int = DIGITS,
+    finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
-    """Add ``split`` ('train' / 'test'); rows with a null label are left out.
-
-    ``hot_copies``: ids with more copies than this take the key-weighted
-    path (``None`` forces that path; a very large value forces the direct path).
-    """
+    """Add ``split``: 'test', 'train', or null where the label is null.  Runs a few counting jobs."""
     cols = df.columns
-    x = (
-        df.where(F.col(label).isNotNull())
-        .withColumn("__id", F.coalesce(F.col(key).cast("string"), F.lit("")))  # null-safe key
-        .withColumn("__h", split_hash("__id", seed))
-        .withColumn("__b", F.substring("__h", 1, hex_digits))
-    )
-    if hot_copies is not None and max_copies_estimate(x, "__id") <= hot_copies / 2:
-        return _split_direct(x, cols, label, test_fraction)
-    return _split_weighted(x, cols, label, test_fraction)
-
-
-def _bucket_offsets(counts: DataFrame, label: str, test_fraction: float, n_col: str) -> DataFrame:
-    """Per (class, bucket): rows before the bucket and the class's test size.
-    At most classes x 16**hex_digits rows: a parameter bound, broadcast."""
-    before = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        label,
-        "__b",
-        F.coalesce(F.sum(n_col).over(before), F.lit(0)).alias("__off"),
-        F.round(F.sum(n_col).over(Window.partitionBy(label)) * F.lit(test_fraction)).cast("bigint").alias("__test_n"),
-    )
-
-
-def _split_direct(x: DataFrame, cols: list[str], label: str, test_fraction: float) -> DataFrame:
-    """Rank rows inside (class, bucket) windows ordered by (hash, id)."""
-    counts = x.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    y = x.join(F.broadcast(_bucket_offsets(counts, label, test_fraction, "__n")), [label, "__b"])
-    rank = F.col("__off") + F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", "__id"))
-    return y.withColumn("split", F.when(rank <= F.col("__test_n"), F.lit("test")).otherwise(F.lit("train"))).select(
-        *cols, "split"
-    )
-
-
-def _split_weighted(x: DataFrame, cols: list[str], label: str, test_fraction: float) -> DataFrame:
-    """Rank distinct keys by running copy counts; salt the straddling key."""
-    key = "__id"
-    keys = x.groupBy(label, "__b", "__h", key).agg(F.count(F.lit(1)).alias("__c"))
-    counts = keys.groupBy(label, "__b").agg(F.sum("__c").alias("__n"))
-    offsets = _bucket_offsets(counts, label, test_fraction, "__n")
-    in_bucket = (
-        Window.partitionBy(label, "__b").orderBy("__h", key).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    decided = keys.join(F.broadcast(offsets), [label, "__b"]).select(
-        label,
-        "__h",
-        key,
-        "__c",
-        "__test_n",
-        (F.col("__off") + F.coalesce(F.sum("__c").over(in_bucket), F.lit(0))).alias("__start"),
-    ).select(
-        label, "__h", key, "__c", "__test_n",
-        F.least(F.greatest(F.col("__test_n") - F.col("__start"), F.lit(0)), F.col("__c")).alias("__k"),
-    )
-    rows = x.join(decided, [label, "__h", key])
-    whole = rows.where((F.col("__k") == 0) | (F.col("__k") == F.col("__c"))).withColumn(
-        "split", F.when(F.col("__k") > 0, F.lit("test")).otherwise(F.lit("train"))
-    )
-    # the (at most one per class) key whose copies straddle the cut
-    part = rows.where((F.col("__k") > 0) & (F.col("__k") < F.col("__c"))).withColumn(
-        "__r", F.xxhash64(*[F.col(c) for c in cols])
-    ).withColumn("__s", F.pmod(F.col("__r"), F.lit(SALTS)))
-    salt_counts = part.groupBy(label, "__s").agg(F.count(F.lit(1)).alias("__m"))
-    salt_before = Window.partitionBy(label).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    salt_off = salt_counts.select(label, "__s", F.coalesce(F.sum("__m").over(salt_before), F.lit(0)).alias("__so"))
-    idx = F.col("__so") + F.row_number().over(Window.partitionBy(label, "__s").orderBy("__r"))
-    part = (
-        part.join(F.broadcast(salt_off), [label, "__s"])  # <= classes x SALTS rows
-        .withColumn("split", F.when(idx <= F.col("__k"), F.lit("test")).otherwise(F.lit("train")))
+    row = F.md5(F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"}))
+    x = df.withColumn("__key", F.concat(split_hash(key, seed), row))
+    cuts = _cut_points(x.where(F.col(label).isNotNull()).select(label, "__key"), label, test_fraction, digits, finish_rows)
+    hashed = split_hash(key, seed)
+    out, at_cut = F.lit(None).cast("string"), F.lit(False)
+    for c, cut in cuts.items():
+        own = F.col(label) == F.lit(c)
+        if cut is None:
+            out = F.when(own, F.lit("train")).otherwise(out)
+            continue
+        first, rest = cut[0][:32], cut[0][32:]
+        # the row hash is only computed where the id hash is that of the cut
+        test = F.when(hashed < F.lit(first), True).when(hashed > F.lit(first), False).otherwise(row < F.lit(rest))
+        at_cut = at_cut | (own & (hashed == F.lit(first)) & (row == F.lit(rest)))
+        out = F.when(own, F.when(test, F.lit("test")).otherwise(F.lit("train"))).otherwise(out)
+    at_cut = F.coalesce(at_cut, F.lit(False))
+    whole = df.where(~at_cut).withColumn("split", out)
+    copies = df.where(at_cut).groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    n_test = F.coalesce(*[F.when(F.col(label) == F.lit(c), F.lit(cut[1])) for c, cut in cuts.items() if cut], F.lit(0))
+    sides = F.array(
+        F.struct(F.lit("test").alias("split"), n_test.cast("long").alias("m")),
+        F.struct(F.lit("train").alias("split"), (F.col("__n") - n_test).alias("m")),
     )
-    out = [*cols, "split"]
-    return whole.select(*out).unionByName(part.select(*out))
+    again = copies.select(*cols, F.explode(sides).alias("__s")).where("__s.m > 0")
+    again = again.withColumn("__i", F.explode(F.sequence(F.lit(0), F.floor((F.col("__s.m") - 1) / COPIES_PER_ROW))))
+    here = F.least(F.lit(COPIES_PER_ROW), F.col("__s.m") - F.col("__i") * COPIES_PER_ROW).cast("int")
+    again = again.withColumn("__j", F.explode(F.sequence(F.lit(1), here)))
+    return whole.unionByName(again.select(*cols, F.col("__s.split").alias("split")))
 
 
 def split_balance(split_df: DataFrame, label: str = S.LABEL) -> DataFrame:
-    """Rows and positive-class share in train and test."""
-    return split_df.groupBy("split").agg(
+    """Rows and positive-class share in train and test (unlabelled rows left out)."""
+    return split_df.where(F.col("split").isNotNull()).groupBy("split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg(F.col(label).cast("double")).alias("churn_rate")
     )

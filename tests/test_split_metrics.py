@@ -19,16 +19,22 @@ def test_split_exact_per_class(spark):
     assert sp.count() == df.count() == sp.select(S.ID).distinct().count()
 
 
-def test_split_independent_of_bucketing_and_path(spark):
+def test_split_independent_of_search_and_partitions(spark):
     df = MP.subscribers(spark, SF_CHECK)
-    a = split.stratified_split(df, hex_digits=1).select(S.ID, F.col("split").alias("a"))
-    b = split.stratified_split(df, hex_digits=4).select(S.ID, F.col("split").alias("b"))
-    c = split.stratified_split(df, hot_copies=None).select(S.ID, F.col("split").alias("c"))
+    a = split.stratified_split(df, digits=1, finish_rows=1).select(S.ID, F.col("split").alias("a"))
+    b = split.stratified_split(df.repartition(64)).select(S.ID, F.col("split").alias("b"))
+    c = split.stratified_split(df.coalesce(1), digits=8).select(S.ID, F.col("split").alias("c"))
     j = a.join(b, S.ID).join(c, S.ID)
     assert j.count() == df.count()
     assert j.where("a <> b OR a <> c").count() == 0
 
 
+def test_split_does_not_shuffle_rows(spark):
+    df = MP.subscribers(spark, SF_CHECK)
+    plan = split.stratified_split(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+
+
 def _frame(spark, labels, probs):
     return spark.createDataFrame([(int(y), float(p)) for y, p in zip(labels, probs)], f"{S.LABEL} int, {S.PROB} double")
 
@@ -80,17 +86,41 @@ def test_confusion_matrix_has_all_cells(spark):
     assert cells == {(0, 0): 0, (0, 1): 0, (1, 0): 0, (1, 1): 2}
 
 
-@pytest.mark.parametrize("hot", [None, 10**9])
-def test_split_with_hot_duplicated_key(spark, hot):
+def _counts(sp):
+    return {(r["churn_label"], r["split"]): r["n"] for r in sp.groupBy("churn_label", "split").agg(F.count("*").alias("n")).collect()}
+
+
+@pytest.mark.parametrize("seed", [42, 53])
+def test_split_with_hot_duplicated_key(spark, seed):
     # one id holds a third of the rows (copies differ in another column)
-    rows = [("hot", i % 2, float(i)) for i in range(3000)] + [(f"c{i}", i % 3 == 0, float(i)) for i in range(6000)]
-    df = spark.createDataFrame([(k, int(y), v) for k, y, v in rows], "customer_id string, churn_label int, v double")
-    sp = split.stratified_split(df, hot_copies=hot).cache()
-    assert sp.count() == len(rows)
-    per = {(r["churn_label"], r["split"]): r["n"] for r in sp.groupBy("churn_label", "split").count().withColumnRenamed("count", "n").collect()}
-    for lab in (0, 1):
-        n = per.get((lab, "test"), 0) + per.get((lab, "train"), 0)
-        assert per.get((lab, "test"), 0) == int(np.floor(n * 0.2 + 0.5))
-    # ids other than the straddling one are wholly in one split
-    mixed = sp.groupBy("customer_id", "churn_label").agg(F.countDistinct("split").alias("k")).where("k > 1").count()
-    assert mixed <= 2
+    rows = [("hot", i % 2, float(i)) for i in range(3000)] + [(f"c{i}", int(i % 3 == 0), float(i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "customer_id string, churn_label int, v double")
+    results = []
+    for parts in (1, 8, 64):
+        sp = split.stratified_split(df.repartition(parts), seed=seed, finish_rows=100).cache()
+        assert sp.count() == len(rows)
+        per = _counts(sp)
+        for lab in (0, 1):
+            n = per.get((lab, "test"), 0) + per.get((lab, "train"), 0)
+            assert per.get((lab, "test"), 0) == int(np.floor(n * 0.2 + 0.5))
+        results.append({tuple(r) for r in sp.collect()})
+    assert results[0] == results[1] == results[2]
+
+
+def test_split_with_exact_copies_at_the_cut(spark):
+    # a third of the table is one copied row; every seed puts some cut near or inside it
+    rows = [("hot", 1, 1.0)] * 3000 + [(f"c{i}", 1, float(i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "customer_id string, churn_label int, v double")
+    inside = 0
+    for seed in range(6):
+        sp = split.stratified_split(df, seed=seed).cache()
+        assert sp.count() == 9000 and _counts(sp)[(1, "test")] == 1800
+        inside += sp.where("customer_id = 'hot'").select("split").distinct().count() == 2
+    assert inside
+
+
+def test_split_keeps_unlabelled_rows(spark):
+    df = spark.createDataFrame([("a", None), ("b", 1), ("c", 0), ("d", 1), ("e", 1), (None, 1)], "customer_id string, churn_label int")
+    got = {r["customer_id"]: r["split"] for r in split.stratified_split(df).collect()}
+    assert len(got) == 6 and got["a"] is None and None not in [v for k, v in got.items() if k != "a"]
+    assert split.stratified_split(df.limit(0)).count() == 0
