@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from churnlens import schema as S
 
 
+NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
+
+
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -21,11 +24,13 @@ def _col(c: str | Column) -> Column:
 def lenient_double(c: str | Column) -> Column:
     """Text -> double; anything unparsable (blank, words) becomes null.
 
-    ``try_cast`` never raises under ANSI mode; NaN is treated as missing,
-    as a dataframe library would.
+    A number is a decimal literal with optional sign and exponent, or an
+    infinity; the pattern keeps out the suffixes that the JVM's own parser
+    accepts (``1000d``, ``1000f``).  NaN is treated as missing, as a dataframe
+    library would.
     """
-    v = F.trim(_col(c).cast("string")).try_cast("double")
-    return F.when(~F.isnan(v), v)
+    text = F.trim(_col(c).cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def cut(c: str | Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
@@ -79,9 +84,9 @@ def risk_segment(contract: str | Column = S.CONTRACT, tenure: str | Column = S.T
     mtm = _col(contract) == F.lit(S.MONTH_TO_MONTH)
     t = _col(tenure)
     return (
-        F.when(mtm & (t < S.RISK_TENURE_CUTOFF), "High")
-        .when(mtm & (t >= S.RISK_TENURE_CUTOFF), "Medium")
-        .otherwise("Low")
+        F.when(mtm & (t < S.RISK_TENURE_CUTOFF), S.RISK_SEGMENTS[0])
+        .when(mtm & (t >= S.RISK_TENURE_CUTOFF), S.RISK_SEGMENTS[1])
+        .otherwise(S.RISK_SEGMENTS[2])
     )
 
 

@@ -35,10 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import schema as S
-from churnlens.session import scratch_path
+from churnlens.operators import model as M
+from churnlens.session import scratch_path, ship_package
 
 LEAF_BLOCK = 1024
 ROW_BLOCK = 64
+ROWS_PER_TASK = 512
+MAX_TASKS = 100_000
 
 
 _TABLES: dict[tuple, tuple] = {}
@@ -161,16 +164,14 @@ def _shap_block(x: np.ndarray, tables: dict, n_features: int) -> np.ndarray:
     return phi.T
 
 
-def shap_values(scored: DataFrame, model, spark=None) -> DataFrame:
-    """Per-row SHAP values: (customer_id, base_value, phi array, margin).
-
-    ``scored`` must carry the assembled ``features`` vector and
-    ``raw_prediction`` (as produced by ``model.score``).
-    """
-    spark = spark or scored.sparkSession
+def _explained(inp: DataFrame, model, kept: str) -> DataFrame:
+    """``inp`` (kept columns, ``x``, ``margin``) with base value and phi of every row."""
+    spark = inp.sparkSession
+    ship_package(spark)
     n_features = len(model.features)
     tables, base = _leaf_tables(spark, model.gbt, n_features)
     shared = spark.sparkContext.broadcast(tables)
+    names = [c for c in inp.columns if c not in ("x", "margin")]
 
     def explain(batches):
         tabs = shared.value
@@ -179,24 +180,19 @@ def shap_values(scored: DataFrame, model, spark=None) -> DataFrame:
                 continue
             x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
             parts = [_shap_block(x[i : i + ROW_BLOCK], tabs, n_features) for i in range(0, len(x), ROW_BLOCK)]
-            phi = np.vstack(parts)
-            yield pd.DataFrame(
-                {
-                    S.ID: pdf[S.ID].to_numpy(),
-                    "base_value": base,
-                    "phi": list(phi),
-                    "margin": pdf["margin"].to_numpy(),
-                }
-            )
-
-    inp = scored.select(
-        S.ID,
-        vector_to_array("features").alias("x"),
-        vector_to_array("raw_prediction")[1].alias("margin"),
-    )
-    # explanation is CPU-bound per row: spread rows over all cores even when
-    # the input arrives in few (e.g. AQE-coalesced) partitions
-    return inp.repartition(spark.sparkContext.defaultParallelism).mapInPandas(explain, f"{S.ID} string, base_value double, phi array<double>, margin double")
+            own = {c: pdf[c].to_numpy() for c in names}
+            yield pd.DataFrame({**own, "base_value": base, "phi": list(np.vstack(parts)), "margin": pdf["margin"].to_numpy()})
+
+    # explanation is CPU-bound per row, so partitions follow the number of rows, not their bytes
+    parts = max(1, min(MAX_TASKS, -(-inp.count() // ROWS_PER_TASK)))
+    return inp.repartition(parts).mapInPandas(explain, f"{kept}, base_value double, phi array<double>, margin double")
+
+
+def shap_values(rows: DataFrame, model) -> DataFrame:
+    """Per-row SHAP values: (customer_id, base_value, phi array, margin) of rows that carry the model's inputs."""
+    scored = M.score(model, rows, vectors=True)
+    inp = scored.select(S.ID, vector_to_array("features").alias("x"), "margin")
+    return _explained(inp, model, f"{S.ID} string")
 
 
 def shap_long(values: DataFrame, features: list[str]) -> DataFrame:
@@ -207,11 +203,18 @@ def shap_long(values: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
-def shap_importance(values: DataFrame, features: list[str]) -> DataFrame:
-    """Mean |SHAP value| per feature, descending (partial aggregate per task)."""
+def shap_importance(rows: DataFrame, model) -> DataFrame:
+    """Mean |SHAP value| per feature over all rows, descending.
+
+    Rows with equal inputs have equal values, so every distinct vector is
+    explained once and weighs as many rows as have it.
+    """
+    scored = M.score(model, rows, vectors=True).select(vector_to_array("features").alias("x"), "margin")
+    distinct = scored.groupBy("x").agg(F.first("margin").alias("margin"), F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(f) for f in model.features])
+    long = _explained(distinct, model, "n long").select("n", F.posexplode("phi").alias("pos", "phi"))
     return (
-        shap_long(values, features)
-        .groupBy("feature")
-        .agg(F.avg(F.abs("phi")).alias("mean_abs_shap"))
+        long.groupBy(F.element_at(names, F.col("pos") + 1).alias("feature"))
+        .agg((F.sum(F.abs("phi") * F.col("n")) / F.sum("n")).alias("mean_abs_shap"))
         .orderBy(F.col("mean_abs_shap").desc(), "feature")
     )

@@ -8,18 +8,22 @@ is ordered:
   one aggregate;
 * ROC and AUC start from per-distinct-score counts (duplicates collapse in
   the map-side partial aggregate), then take cumulative sums with a
-  two-level prefix: fixed score buckets get their offsets from a table of at
-  most ``buckets`` rows (65,536 by default; broadcast), and running sums are taken only inside
-  a bucket.  No window runs over the whole table in one task.
+  two-level prefix: score buckets, cut at quantiles of the distinct scores so
+  that scores crowded into a small interval still spread, get their offsets
+  from a table of at most ``buckets`` rows (broadcast), and running sums are
+  taken only inside a bucket.  No window runs over the whole table in one task.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens import schema as S
 
+BUCKETS = 1024
+
 
 def predicted(prob: str = S.PROB, threshold: float = S.PREDICT_THRESHOLD) -> Column:
     return (F.col(prob) > F.lit(threshold)).cast("int")
@@ -57,17 +61,17 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
+def _rates() -> list[Column]:
+    """Accuracy, precision, recall and F1 (positive class 1) from the counts."""
+    tp, fp, fn_, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    return [_ratio(tp + tn, F.col("n")), _ratio(tp, tp + fp), _ratio(tp, tp + fn_), _ratio(2 * tp, 2 * tp + fp + fn_)]
+
+
 def classification_metrics(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB) -> DataFrame:
     """One row: counts plus accuracy, precision, recall and F1 (positive class 1)."""
     c = confusion_counts(df, label, prob)
-    tp, fp, fn_, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    return c.select(
-        "n", "tp", "fp", "fn", "tn",
-        _ratio(tp + tn, F.col("n")).alias("accuracy"),
-        _ratio(tp, tp + fp).alias("precision"),
-        _ratio(tp, tp + fn_).alias("recall"),
-        _ratio(2 * tp, 2 * tp + fp + fn_).alias("f1_score"),
-    )
+    names = ("accuracy", "precision", "recall", "f1_score")
+    return c.select("n", "tp", "fp", "fn", "tn", *[v.alias(k) for k, v in zip(names, _rates())])
 
 
 def confusion_matrix(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB) -> DataFrame:
@@ -90,9 +94,14 @@ def _score_points(df: DataFrame, label: str, prob: str, buckets: int) -> DataFra
     0-based position idx, the next point's pos/neg, and totals P, N."""
     s = score_counts(df, label, prob)
     # monotone bucket of the score (descending order of scores = descending buckets)
-    s = s.withColumn(
-        "bucket", F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * buckets).cast("int")
-    )
+    probs = [i / buckets for i in range(1, buckets)]
+    edges = sorted(set(s.approxQuantile("score", probs, 0.5 / buckets))) if buckets > 1 else []
+    splits = [float("-inf"), *edges, float("inf")]
+    if len(splits) > 2:
+        s = Bucketizer(splits=splits, inputCol="score", outputCol="__b").transform(s)
+        s = s.withColumn("bucket", F.col("__b").cast("int")).drop("__b")
+    else:
+        s = s.withColumn("bucket", F.lit(0))
     b = s.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("b_rows"),
         F.sum("pos").alias("b_pos"),
@@ -128,7 +137,7 @@ def _score_points(df: DataFrame, label: str, prob: str, buckets: int) -> DataFra
     )
 
 
-def roc_curve(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB, buckets: int = 65536) -> DataFrame:
+def roc_curve(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB, buckets: int = BUCKETS) -> DataFrame:
     """(threshold, fpr, tpr) with the origin (inf, 0, 0) first.
 
     One point per distinct score, collinear interior points dropped (a point
@@ -152,29 +161,44 @@ def roc_curve(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB, buckets:
     return origin.unionByName(curve)
 
 
-def roc_auc(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB, buckets: int = 65536) -> DataFrame:
+def roc_auc(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB, buckets: int = BUCKETS) -> DataFrame:
     """Area under the ROC curve by the rank-sum formula (ties count half).
 
     AUC = sum over scores of pos x (2 x negatives below + negatives at the
     score) / (2 P N), computed from the same per-score prefix sums.
     """
-    pts = _score_points(df, label, prob, buckets)
+    return _score_points(df, label, prob, buckets).agg(*_auc_sums()).select(_auc().alias("auc"))
+
+
+def _auc_sums() -> list[Column]:
     below = F.col("N") - F.col("fps")
-    return pts.agg(
+    return [
         F.sum(F.col("pos").cast("double") * (2 * below + F.col("neg")).cast("double")).alias("num"),
-        F.max("P").alias("P"),
-        F.max("N").alias("N"),
-    ).select(
-        F.try_divide(F.col("num"), F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double")).alias("auc")
-    )
+        F.max("P").alias("n_pos"),
+        F.max("N").alias("n_neg"),
+    ]
 
 
-def evaluation_table(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB) -> DataFrame:
-    """Five rows (metric, value): Accuracy, Precision, Recall, F1 Score, AUC."""
-    m = classification_metrics(df, label, prob).crossJoin(roc_auc(df, label, prob))  # 1 x 1 rows
-    names = dict(zip(S.METRIC_NAMES, ["accuracy", "precision", "recall", "f1_score", "auc"]))
-    return m.select(
+def _auc() -> Column:
+    return F.try_divide(F.col("num"), F.lit(2.0) * F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))
+
+
+def evaluation_table(df: DataFrame, label: str = S.LABEL, prob: str = S.PROB, buckets: int = BUCKETS) -> DataFrame:
+    """Five rows (metric, value): Accuracy, Precision, Recall, F1 Score, AUC (one aggregate over the score points)."""
+    pts = _score_points(df, label, prob, buckets)
+    hit = F.col("score") > F.lit(S.PREDICT_THRESHOLD)
+    z = F.lit(0).cast("bigint")
+    c = pts.agg(
+        F.coalesce(F.sum(F.col("pos") + F.col("neg")), z).alias("n"),
+        F.coalesce(F.sum(F.when(hit, F.col("pos")).otherwise(0)), z).alias("tp"),
+        F.coalesce(F.sum(F.when(hit, F.col("neg")).otherwise(0)), z).alias("fp"),
+        F.coalesce(F.sum(F.when(hit, 0).otherwise(F.col("pos"))), z).alias("fn"),
+        F.coalesce(F.sum(F.when(hit, 0).otherwise(F.col("neg"))), z).alias("tn"),
+        *_auc_sums(),
+    )
+    values = [*_rates(), _auc()]
+    return c.select(
         F.explode(
-            F.array(*[F.struct(F.lit(k).alias("metric"), F.col(v).alias("value")) for k, v in names.items()])
+            F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in zip(S.METRIC_NAMES, values)])
         ).alias("m")
     ).select("m.metric", "m.value")

@@ -1,20 +1,23 @@
-"""Model: label encoding, boosted-tree training, scoring, importances.
+"""Model: level codes, boosted-tree training, scoring, importances.
 
 The learner is Spark ML's ``GBTClassifier`` (distributed histogram
-aggregation per tree level) inside a ``Pipeline``:
-
-1. ``SQLTransformer``: categorical values as text, missing -> 'nan';
-2. ``StringIndexer`` (alphabetical order, fitted on the whole table as the
-   analysed workflow does), codes = 0-based rank of the sorted labels;
-3. ``SQLTransformer``: codes re-cast to plain doubles, which drops the
-   nominal metadata so the trees split on code order (ordered splits, like
-   the integer-coded features of the analysed workflow) instead of
-   categorical subsets;
-4. ``VectorAssembler`` + ``GBTClassifier``.
-
-The label set of every categorical column is collected by the indexer;
-its size is checked (``max_levels``) so an id-like text column cannot
-silently become a "category" with millions of levels.
+aggregation per tree level).  Its inputs are prepared by plain column work:
+
+* categorical values as text, missing -> 'nan', replaced by the 0-based rank
+  of the level among the column's sorted levels (over the whole table, as the
+  analysed workflow does).  The level table is a distinct + rank in Spark and
+  is joined, so a column with any number of levels works; only columns counted
+  to have at most ``FEW_LEVELS`` levels go as a literal map instead.  A level
+  unknown to the model gets the next code;
+* numbers as doubles; a missing number becomes ``MISSING`` (-1, below the
+  domain of every count and charge), which keeps it apart from zero, and
+  infinities become +-1e30.  The same at fit, score and explanation.
+
+The trees split on code order (no nominal metadata).  MLlib samples rows per
+partition, so the training rows are placed by hash of the id in a fixed number
+of partitions (a parameter of the model) and sorted inside them: the fitted
+model does not depend on the cluster or on how the input was cut.  At most
+about ``max_rows`` labelled rows, chosen by id hash, are used to fit.
 """
 
 from __future__ import annotations
@@ -22,20 +25,23 @@ from __future__ import annotations
 import uuid
 from dataclasses import astuple, dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlens import schema as S
 from churnlens.functions import churn_risk_band
+from churnlens.session import scratch_path
 
-NON_FEATURES = {S.ID, S.CHURN, S.LABEL, "k", "score", S.TOTAL_RAW, S.PROB, S.PRED, S.RISK_BAND, "split"}
-MAX_LEVELS = 10_000
+#: id, label and what the model itself adds; other columns are left out through ``exclude``
+NOT_INPUTS = {S.ID, S.CHURN, S.LABEL, S.TOTAL_RAW, S.PROB, S.PRED, S.RISK_BAND, "split"}
+MISSING = -1.0
+LARGEST = 1e30
+FEW_LEVELS = 100
 
 
 @dataclass(frozen=True)
@@ -47,11 +53,13 @@ class GBTParams:
     column_sample: float = S.GBT_COLUMN_SAMPLE
     seed: int = S.GBT_SEED
     max_bins: int = S.GBT_MAX_BINS
+    partitions: int = 4
+    max_rows: int = 2_000_000
 
 
-def feature_columns(df: DataFrame) -> list[str]:
-    """Model inputs: every column except id, label and bookkeeping columns."""
-    return [c for c in df.columns if c not in NON_FEATURES]
+def feature_columns(df: DataFrame, exclude=()) -> list[str]:
+    """Model inputs: every column except id, label, the model's own outputs and ``exclude``."""
+    return [c for c in df.columns if c not in NOT_INPUTS and c not in exclude]
 
 
 def categorical_columns(df: DataFrame, features: list[str]) -> list[str]:
@@ -59,48 +67,65 @@ def categorical_columns(df: DataFrame, features: list[str]) -> list[str]:
     return [c for c in features if isinstance(types[c], T.StringType)]
 
 
-def _text_stage(cats: list[str]) -> SQLTransformer:
-    cols = ", ".join(f"coalesce(CAST(`{c}` AS STRING), 'nan') AS `{c}__s`" for c in cats)
-    return SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__")
+def _text(c: str):
+    return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
 
 
-def _code_stage(cats: list[str]) -> SQLTransformer:
-    cols = ", ".join(f"CAST(`{c}__ix` AS DOUBLE) AS `{c}__code`" for c in cats)
-    return SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__")
+def level_table(df: DataFrame, cats: list[str]) -> DataFrame:
+    """``(column, level, code)``: the levels of every categorical column and their 0-based rank."""
+    texts = df.select(*[_text(c).alias(c) for c in cats]).unpivot([], cats, "column", "level").distinct()
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("level"))
+    return texts.select("column", "level", (rank - 1).cast("int").alias("code"))
 
 
-def label_encoder(df: DataFrame, cats: list[str]) -> PipelineModel:
-    """Fit text + index stages on the whole table (codes fixed before any split)."""
-    idx = StringIndexer(
-        inputCols=[f"{c}__s" for c in cats],
-        outputCols=[f"{c}__ix" for c in cats],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    )
-    model = Pipeline(stages=[_text_stage(cats), idx, _code_stage(cats)]).fit(df)
-    sizes = [len(x) for x in model.stages[1].labelsArray]
-    if sizes and max(sizes) > MAX_LEVELS:
-        raise ValueError(f"categorical column with {max(sizes)} levels; drop it or encode it otherwise")
-    return model
+@dataclass
+class Levels:
+    """Level codes of the categorical columns.
 
+    Columns with at most ``FEW_LEVELS`` levels (counted first) carry them as a
+    literal map in the plan; the others are joined to ``table``.
+    """
 
-def label_encode(df: DataFrame, cats: list[str] | None = None) -> DataFrame:
+    table: DataFrame
+    sizes: dict[str, int]
+    few: dict[str, list[str]]
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Levels:
+        sizes = {r["column"]: r["n"] for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        few: dict[str, list[str]] = {c: [] for c, n in sizes.items() if n <= FEW_LEVELS}
+        for r in sorted(table.where(F.col("column").isin(*few)).collect(), key=lambda r: r["code"]) if few else []:
+            few[r["column"]].append(r["level"])
+        return cls(table, sizes, few)
+
+
+def with_codes(df: DataFrame, cats: list[str], levels: Levels) -> DataFrame:
+    """Add ``<column>__code`` (double); an unknown level gets the number of levels."""
+    for c in cats:
+        unknown = F.lit(float(levels.sizes.get(c, 0)))
+        if c in levels.few:
+            known = F.create_map(*[x for i, v in enumerate(levels.few[c]) for x in (F.lit(v), F.lit(float(i)))])
+            df = df.withColumn(f"{c}__code", F.coalesce(F.try_element_at(known, _text(c)), unknown))
+            continue
+        own = levels.table.where(F.col("column") == c).select(F.col("level").alias(f"{c}__s"), F.col("code").cast("double").alias(f"{c}__c"))
+        df = df.withColumn(f"{c}__s", _text(c)).join(own, f"{c}__s", "left").drop(f"{c}__s")
+        df = df.withColumn(f"{c}__code", F.coalesce(f"{c}__c", unknown)).drop(f"{c}__c")
+    return df
+
+
+def label_encode(df: DataFrame, cats: list[str] | None = None, exclude=()) -> DataFrame:
     """``customer_id`` plus an integer code per categorical feature."""
-    feats = feature_columns(df)
-    cats = cats or categorical_columns(df, feats)
-    enc = label_encoder(df, cats).transform(df)
-    return enc.select(S.ID, *[F.col(f"{c}__code").cast("int").alias(c) for c in cats])
-
-
-def assemble_columns(df: DataFrame, features: list[str]) -> list[str]:
-    cats = set(categorical_columns(df, features))
-    return [f"{c}__code" if c in cats else c for c in features]
+    cats = cats or categorical_columns(df, feature_columns(df, exclude))
+    out = with_codes(df, cats, Levels.of(level_table(df, cats)))
+    return out.select(S.ID, *[F.col(f"{c}__code").cast("int").alias(c) for c in cats])
 
 
 @dataclass
 class FittedModel:
     pipeline: PipelineModel
     features: list[str]
+    cats: list[str]
+    levels: Levels
     train_id: str = field(default_factory=lambda: uuid.uuid4().hex[:16])
 
     @property
@@ -108,25 +133,34 @@ class FittedModel:
         return self.pipeline.stages[-1]
 
 
-def training_partitions(df: DataFrame, rows_per_partition: int = 100_000) -> int:
-    """Partitions for the tree learner: about ``rows_per_partition`` rows each,
-    at least two and at most two per core.  Every boosting level is one job
-    over all partitions, so a small input spread over many partitions pays
-    task overhead 300 x 6 times (measured: 100 rounds on 12k rows take 54 s
-    in 2 partitions, 78 s in 8), while a large input keeps every core busy."""
-    rows = df.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return int(min(2 * cores, max(min(2, cores), -(-rows // rows_per_partition))))
+def _number(c: str):
+    x = F.col(c).cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.lit(MISSING)).otherwise(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), x)))
+
 
+def prepared(df: DataFrame, features: list[str], cats: list[str], levels: Levels) -> DataFrame:
+    """Rows with one finite double per feature (``<feature>__code`` or ``<feature>__num``)."""
+    numbers = {f"{c}__num": _number(c) for c in features if c not in cats}
+    coded = with_codes(df, cats, levels)
+    return coded.withColumns(numbers) if numbers else coded
 
-def train(df: DataFrame, train_rows: DataFrame, params: GBTParams = GBTParams()) -> FittedModel:
-    """Fit encoder on ``df`` (whole table) and the boosted trees on ``train_rows``."""
-    features = feature_columns(df)
+
+def train(df: DataFrame, train_rows: DataFrame, params: GBTParams = GBTParams(), exclude=()) -> FittedModel:
+    """Levels from ``df`` (whole table), boosted trees from ``train_rows``."""
+    spark = df.sparkSession
+    features = feature_columns(df, exclude)
     cats = categorical_columns(df, features)
-    encoder = label_encoder(df, cats)
-    assembler = VectorAssembler(
-        inputCols=assemble_columns(df, features), outputCol="features", handleInvalid="keep"
-    )
+    path = scratch_path(spark, "levels")
+    level_table(df, cats).write.parquet(path)
+    levels = Levels.of(spark.read.parquet(path))
+    labelled = train_rows.where(F.col(S.LABEL).isNotNull())
+    n = labelled.count()
+    if n > params.max_rows:
+        unit = 1 << 30
+        labelled = labelled.where(F.pmod(F.xxhash64(S.ID, F.lit(params.seed)), F.lit(unit)) < int(params.max_rows / n * unit))
+    row = F.xxhash64(*[F.col(c) for c in features])
+    placed = prepared(labelled, features, cats, levels).repartition(params.partitions, S.ID).sortWithinPartitions(S.ID, row)
+    inputs = [f"{c}__code" if c in cats else f"{c}__num" for c in features]
     gbt = GBTClassifier(
         featuresCol="features",
         labelCol=S.LABEL,
@@ -141,31 +175,24 @@ def train(df: DataFrame, train_rows: DataFrame, params: GBTParams = GBTParams())
         cacheNodeIds=False,
         checkpointInterval=10,
     )
-    # computed once for the row count and the learner; a lost executor only
-    # recomputes its own cached blocks
-    prepared = encoder.transform(train_rows).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        tail = Pipeline(stages=[assembler, gbt]).fit(prepared.repartition(training_partitions(prepared)))
-    finally:
-        prepared.unpersist()
-    return FittedModel(PipelineModel(stages=encoder.stages + tail.stages), features)
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), gbt]).fit(placed)
+    return FittedModel(pipeline, features, cats, levels)
 
 
-def score(model: FittedModel, df: DataFrame) -> DataFrame:
+def score(model: FittedModel, df: DataFrame, vectors: bool = False) -> DataFrame:
     """Input columns plus probability of churn, predicted class and risk band.
 
-    A narrow map over the input (no shuffle); the encoder's label lists and
-    the trees travel to the executors with the task closures.
+    ``vectors`` adds the assembled ``features`` and the ``margin`` that
+    explanations need; stored tables leave them out.
     """
-    out = model.pipeline.transform(df)
-    prob = vector_to_array("probability")[1]
-    keep = [c for c in df.columns]
+    keep = [c for c in df.columns if c not in (S.PROB, S.PRED, S.RISK_BAND)]
+    out = model.pipeline.transform(prepared(df.select(*keep), model.features, model.cats, model.levels))
+    more = [F.col("features"), vector_to_array("rawPrediction")[1].alias("margin")] if vectors else []
     return out.select(
         *keep,
-        prob.alias(S.PROB),
+        vector_to_array("probability")[1].alias(S.PROB),
         F.col("prediction").cast("int").alias(S.PRED),
-        F.col("rawPrediction").alias("raw_prediction"),
-        F.col("features").alias("features"),
+        *more,
     ).withColumn(S.RISK_BAND, churn_risk_band(S.PROB))
 
 

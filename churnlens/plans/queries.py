@@ -15,7 +15,7 @@ from churnlens import schema as S
 from churnlens.functions import lenient_double
 from churnlens.operators import clean, descriptive
 from churnlens.plans import tables
-from churnlens.sources.subscribers import dataset_profile
+from churnlens.sources.subscribers import FIXTURE_COLUMNS, dataset_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,7 +192,7 @@ def q_report_lines(spark, sf_dir):
 @query("high_risk_extract")
 def q_high_risk_extract(spark, sf_dir):
     df = sc(spark, sf_dir)
-    return retention.high_risk_extract(df, feature_columns(df))
+    return retention.high_risk_extract(df, feature_columns(df, FIXTURE_COLUMNS))
 
 
 def sc_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +251,7 @@ def q_model_features(spark, sf_dir):
 
 @query("label_encode")
 def q_label_encode(spark, sf_dir):
-    return M.label_encode(feat(spark, sf_dir))
+    return M.label_encode(feat(spark, sf_dir), exclude=FIXTURE_COLUMNS)
 
 
 @query("train_model")
@@ -327,14 +327,11 @@ def q_model_extract(spark, sf_dir):
 
 @query("shap_importance")
 def q_shap_importance(spark, sf_dir):
-    model = MP.fitted(spark, sf_dir)
-    vals = X.shap_values(MP.scored_test(spark, sf_dir), model)
-    return X.shap_importance(vals, model.features)
+    return X.shap_importance(MP.scored_test(spark, sf_dir), MP.fitted(spark, sf_dir))
 
 
 @query("export_results")
 def q_export_results(spark, sf_dir):
-    from churnlens.session import scratch_path
     from churnlens.sources.sinks import export_results
 
     model = MP.fitted(spark, sf_dir)
@@ -344,9 +341,17 @@ def q_export_results(spark, sf_dir):
         "feature_importance": M.feature_importance(model, spark),
         "segment_profile": segments.segment_profile(scored),
         "retention_plan": retention.retention_plan(scored),
-        "high_risk_customers": retention.high_risk_extract(scored, model.features),
+        "high_risk_customers": retention.high_risk_customers(scored, model.features),
     }
-    return export_results(tables, scratch_path(spark, "export"))
+    return export_results(tables, MP.store_path(spark, sf_dir) + "/export").drop("path")
+
+
+@query("scored_rows")
+def q_scored_rows(spark, sf_dir):
+    """Every subscriber is scored: rows per split and label, and those without a probability."""
+    return MP.scored_all(spark, sf_dir).groupBy("split", S.LABEL).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(S.PROB).isNull()).alias("n_unscored")
+    )
 
 
 @query("plan_action_text")

@@ -13,11 +13,11 @@ cast, imputation) still run from the raw tables.
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlens.operators.features import enrich
+from churnlens.session import ensure_checkpoint_dir, path_exists
 from churnlens.sources.subscribers import subscriber_view
 
 INPUT_TABLES = ("customer", "orders")
@@ -25,10 +25,10 @@ _PLANS: dict[tuple, DataFrame] = {}
 
 
 def input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Paths, sizes and modification times of the input tables' files.
+    """Bytes, file count and modification time of every input table.
 
-    Listed through the Hadoop FileSystem of the session, so it works the
-    same for local, HDFS and object-store paths (metadata only, no data read).
+    Two calls per table to the session's Hadoop FileSystem (no listing on the
+    driver), so it works the same for local, HDFS and object-store paths.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -36,14 +36,12 @@ def input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
     for t in INPUT_TABLES:
         path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
         fs = path.getFileSystem(conf)
-        try:
-            it = fs.listFiles(path, True)
-            while it.hasNext():
-                st = it.next()
-                parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
-        except Exception:  # noqa: BLE001 - missing table: the query itself reports it
-            parts.append(f"{sf_dir}/{t}.parquet:missing")
-    return "|".join(sorted(parts))
+        if fs.exists(path):  # a missing table is reported by the query that reads it
+            size, status = fs.getContentSummary(path), fs.getFileStatus(path)
+            parts.append(f"{path}:{size.getLength()}:{size.getFileCount()}:{status.getModificationTime()}")
+        else:
+            parts.append(f"{path}:missing")
+    return "|".join(parts)
 
 
 def _memo(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
@@ -62,16 +60,27 @@ def base_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def enriched(spark: SparkSession, sf_dir: str, totals: bool = True) -> DataFrame:
     """Subscriber view with all derived columns, read from its written table.
 
-    ``totals`` is kept for callers that do not need the imputed total; the
-    written table always has it.
+    ``totals=False``: the caller reads no imputed total.  Such a query takes
+    the written table where it exists and otherwise derives its few columns
+    from the view, without the median and without writing anything.
     """
-    from churnlens.session import ensure_checkpoint_dir
-
-    def build() -> DataFrame:
-        app = spark.sparkContext.applicationId
-        tag = hashlib.sha1(input_fingerprint(spark, sf_dir).encode()).hexdigest()[:16]
-        path = os.path.join(ensure_checkpoint_dir(spark), "churnlens-tables", f"{tag}-{app}", "subscribers")
+    path = _table_path(spark, sf_dir)
+    if not path_exists(spark, path + "/_SUCCESS"):
+        if not totals:
+            return enrich(base_view(spark, sf_dir), with_totals=False)
         enrich(base_view(spark, sf_dir), with_totals=True).write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return _memo(spark, sf_dir, "enriched", lambda: spark.read.parquet(path))
+
+
+def _table_path(spark: SparkSession, sf_dir: str) -> str:
+    app = spark.sparkContext.applicationId
+    tag = hashlib.sha1(input_fingerprint(spark, sf_dir).encode()).hexdigest()[:16]
+    return f"{ensure_checkpoint_dir(spark)}/churnlens-tables/{tag}-{app}/subscribers"
+
 
-    return _memo(spark, sf_dir, "enriched", build)
+def drop_tables(spark: SparkSession, sf_dir: str) -> None:
+    """Delete this application's written table of an input."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_table_path(spark, sf_dir))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _PLANS if k[1] == "enriched"]:
+        del _PLANS[key]

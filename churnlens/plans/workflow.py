@@ -41,18 +41,22 @@ def descriptive_tables(subscribers: DataFrame) -> dict[str, DataFrame]:
     return {name: getattr(descriptive, name)(df) for name in DESCRIPTIVE}
 
 
-def model_tables(subscribers: DataFrame, params: M.GBTParams = M.GBTParams()) -> dict[str, DataFrame]:
+def model_tables(subscribers: DataFrame, params: M.GBTParams = M.GBTParams(), exclude=()) -> dict[str, DataFrame]:
     """Train on the stratified split, then score the whole table once.
 
-    The scored table is written under the shared checkpoint folder and every
-    report reads it (lineage cut, nothing re-scored per report).
+    ``exclude`` names columns that are no model inputs.  The enriched and the
+    scored table are written under the shared checkpoint folder and every
+    report reads them (lineage cut, nothing re-scored per report); the folder
+    is asked for before anything is trained.
     """
     spark = subscribers.sparkSession
-    df = enrich(subscribers)
+    folder = scratch_path(spark, "workflow")
+    path = f"{folder}/scored"
+    enrich(subscribers).write.parquet(f"{folder}/subscribers")
+    df = spark.read.parquet(f"{folder}/subscribers")
     sp = split.stratified_split(df)
-    model = M.train(df, sp.where(F.col("split") == "train"), params)
-    path = scratch_path(spark, "scored")
-    M.score(model, sp).write.mode("overwrite").parquet(path)
+    model = M.train(df, sp.where(F.col("split") == "train"), params, exclude)
+    M.score(model, sp).write.partitionBy("split").parquet(path)
     scored = spark.read.parquet(path)
     test = scored.where(F.col("split") == "test")
     return {
@@ -60,10 +64,10 @@ def model_tables(subscribers: DataFrame, params: M.GBTParams = M.GBTParams()) ->
         "confusion_matrix": metrics.confusion_matrix(test),
         "roc_curve": metrics.roc_curve(test),
         "feature_importance": M.feature_importance(model, spark),
-        "shap_importance": X.shap_importance(X.shap_values(test, model), model.features),
+        "shap_importance": X.shap_importance(test, model),
         "segment_profile": segments.segment_profile(scored),
         "revenue_at_risk": retention.revenue_at_risk(scored),
         "retention_plan": retention.retention_plan(scored),
-        "high_risk_customers": retention.high_risk_extract(scored, model.features),
+        "high_risk_customers": retention.high_risk_customers(scored, model.features),
         "report_lines": retention.report_lines(scored),
     }

@@ -34,6 +34,9 @@ RISK_SEGMENT = "risk_segment"
 SERVICE_COUNT = "service_count"
 HIGH_VALUE = "high_value"
 
+# ==========================================================================
+# FIXED VALUES (must equal the analysed workflow for identical results)
+# ==========================================================================
 SERVICE_COLUMNS = [
     "online_security",
     "online_backup",
@@ -42,10 +45,6 @@ SERVICE_COLUMNS = [
     "streaming_tv",
     "streaming_movies",
 ]
-
-# ==========================================================================
-# FIXED VALUES (must equal the analysed workflow for identical results)
-# ==========================================================================
 # Right-closed bins (lo, hi]; the lowest edge is excluded.
 TENURE_EDGES = [0, 12, 24, 36, 48, 60, 100]
 TENURE_LABELS = ["0-12", "13-24", "25-36", "37-48", "49-60", "61+"]
@@ -53,6 +52,7 @@ CHARGES_EDGES = [0, 30, 50, 70, 90, 200]
 CHARGES_LABELS = ["0-30", "30-50", "50-70", "70-90", "90+"]
 TOTAL_EDGES = [0, 1000, 2000, 3000, 4000, 10000]
 TOTAL_LABELS = ["0-1K", "1K-2K", "2K-3K", "3K-4K", "4K+"]
+RISK_SEGMENTS = ["High", "Medium", "Low"]  # month-to-month by tenure, then the default
 RISK_BAND_EDGES = [0, 0.3, 0.6, 1.0]
 RISK_BAND_LABELS = ["Low", "Medium", "High"]
 

@@ -69,6 +69,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"churnlens-{name}-{uuid.uuid4().hex[:12]}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system it names (errors other than absence are raised)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 _SHIPPED: set[str] = set()
 
 

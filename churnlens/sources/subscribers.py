@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from churnlens import schema as S
 
 
+#: columns of ``subscriber_view`` that a real subscriber table does not have
+FIXTURE_COLUMNS = ("k", "score")
+
+
 def _svc(k: Column, internet: Column, mod: int, below: int) -> Column:
     return (
         F.when(internet == "No", F.lit(S.NO_INTERNET))

@@ -13,8 +13,9 @@ from churnlens.operators import explain as X
 from churnlens.operators import metrics, split
 from churnlens.operators import model as M
 from churnlens.plans import modelling as MP
+from churnlens.sources.subscribers import FIXTURE_COLUMNS
 
-from conftest import SF_CHECK
+from conftest import SF_CHECK, SF_SMALL
 
 PARAMS = M.GBTParams(rounds=4, depth=3)
 
@@ -23,8 +24,8 @@ PARAMS = M.GBTParams(rounds=4, depth=3)
 def fitted(spark):
     df = MP.subscribers(spark, SF_CHECK).cache()
     sp = split.stratified_split(df).cache()
-    model = M.train(df, sp.where("split = 'train'"), PARAMS)
-    test = M.score(model, sp.where("split = 'test'")).cache()
+    model = M.train(df, sp.where("split = 'train'"), PARAMS, FIXTURE_COLUMNS)
+    test = M.score(model, sp.where("split = 'test'"), vectors=True).cache()
     return model, df, test
 
 
@@ -58,7 +59,7 @@ def test_feature_columns_exclude_label_and_ids(fitted):
 
 def test_codes_are_ordered_not_nominal(fitted):
     model, df, _ = fitted
-    out = model.pipeline.transform(df.limit(5))
+    out = M.score(model, df.limit(5), vectors=True)
     meta = out.schema["features"].metadata
     attrs = meta.get("ml_attr", {}).get("attrs", {})
     assert "nominal" not in attrs  # trees split on code order
@@ -66,7 +67,7 @@ def test_codes_are_ordered_not_nominal(fitted):
 
 def test_shap_additive(fitted):
     model, _, test = fitted
-    vals = X.shap_values(test, model).toPandas()
+    vals = X.shap_values(test.drop("features", "margin"), model).toPandas()
     assert len(vals) == test.count()
     total = vals["base_value"] + np.stack(vals["phi"].to_numpy()).sum(axis=1)
     assert np.abs(total - vals["margin"]).max() < 1e-9
@@ -109,3 +110,69 @@ def test_shap_equals_brute_force_shapley(fitted, spark, tmp_path):
                         phi[u] += weights[t] * wk * (_cond_exp(tree, 0, x, s | {u}) - _cond_exp(tree, 0, x, s))
         fast = X._shap_block(x[None, :], tables, len(x))[0]
         assert np.abs(fast - phi).max() < 1e-12
+
+
+def _edge(df):
+    """Every tenth row without a number, some without a label, some infinite."""
+    k = F.pmod(F.xxhash64(S.ID), F.lit(10))
+    return (
+        df.withColumn(S.TENURE, F.when(k == 0, None).otherwise(F.col(S.TENURE)))
+        .withColumn(S.TOTAL, F.when(k == 1, float("inf")).otherwise(F.col(S.TOTAL)))
+        .withColumn(S.LABEL, F.when(k == 2, None).otherwise(F.col(S.LABEL)))
+        .withColumn(S.CONTRACT, F.when(k == 3, None).otherwise(F.col(S.CONTRACT)))
+    )
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    df = _edge(MP.subscribers(spark, SF_SMALL)).cache()
+    sp = split.stratified_split(df).cache()
+    model = M.train(df, sp.where("split = 'train'"), PARAMS, FIXTURE_COLUMNS)
+    return model, df, sp
+
+
+def test_missing_numbers_train_and_every_row_is_scored(edge):
+    model, df, sp = edge
+    scored = M.score(model, sp)
+    assert scored.count() == df.count() and scored.where(F.col(S.PROB).isNull()).count() == 0
+    assert scored.where("split is null").count() == df.where(F.col(S.LABEL).isNull()).count() > 0
+
+
+def test_shap_additive_with_missing_numbers(edge):
+    model, df, _ = edge
+    vals = X.shap_values(df, model).toPandas()
+    total = vals["base_value"] + np.stack(vals["phi"].to_numpy()).sum(axis=1)
+    assert len(vals) == df.count() and np.abs(total - vals["margin"]).max() < 1e-9
+
+
+def test_shap_importance_of_distinct_vectors_equals_that_of_rows(edge, spark):
+    model, df, _ = edge
+    twice = df.unionAll(df.limit(40))
+    want = X.shap_long(X.shap_values(twice, model), model.features).groupBy("feature").agg(F.avg(F.abs("phi")).alias("m"))
+    want = {r["feature"]: r["m"] for r in want.collect()}
+    got = {r["feature"]: r["mean_abs_shap"] for r in X.shap_importance(twice, model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_model_does_not_depend_on_input_partitions(edge):
+    _, df, _ = edge
+    params = M.GBTParams(rounds=3, depth=3)
+    probs = []
+    for parts in (1, 8):
+        x = df.repartition(parts)
+        sp = split.stratified_split(x)
+        model = M.train(x, sp.where("split = 'train'"), params, FIXTURE_COLUMNS)
+        probs.append({r[S.ID]: r[S.PROB] for r in M.score(model, df).select(S.ID, S.PROB).collect()})
+    assert max(abs(probs[0][k] - probs[1][k]) for k in probs[0]) < 1e-9
+
+
+def test_user_columns_are_inputs_unless_excluded(spark):
+    df = spark.createDataFrame([("a", 1.0, 2)], f"{S.ID} string, score double, k int")
+    assert M.feature_columns(df) == ["score", "k"] and M.feature_columns(df, ("k",)) == ["score"]
+
+
+def test_fit_rows_bound(spark):
+    df = MP.subscribers(spark, SF_CHECK)
+    model = M.train(df, split.stratified_split(df).where("split = 'train'"), M.GBTParams(rounds=1, depth=2, max_rows=300), FIXTURE_COLUMNS)
+    nodes = model.gbt.trees[0]
+    assert nodes.numNodes >= 1
