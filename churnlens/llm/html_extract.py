@@ -4,7 +4,9 @@ Method: every element of a page is a binary variable, content or not.  Its
 unary potential is a linear function of markup and text shape (tag group,
 words in class, id and role, link share, text length, punctuation); a 2 x 2
 potential ties it to its parent, one for each kind of child (marked by its
-tag or a class word, plain container, other).  Sum-product messages pass from the leaves up
+tag or a class word, plain container, other).  A plain container that is all
+its parent holds is only a wrapper: it is the same variable as its parent, so
+nesting depth does not wear the message out.  Sum-product messages pass from the leaves up
 and from the root down, which gives every element's exact content marginal;
 the text of elements with a marginal over one half is the main text.  Both
 potentials are trained together, as a conditional random field, from the
@@ -80,6 +82,9 @@ N_FEATURES = len(TAG_GROUPS) + len(WORD_GROUPS) + SHAPE
 MARKED = 7  # the first groups (nav .. main) mark an element by its tag
 CONTAINERS = {"section", "div", "table", "tbody", "tr", "td", "th", "html", "body", "#page"}
 
+WRAPPER = 3
+SAME = np.array([[0.0, -1e3], [-1e3, 0.0]])  # potential of a wrapper and its parent
+
 _TAGS = {t: i for i, g in enumerate(TAG_GROUPS) for t in g}
 _WORDS = {w: len(TAG_GROUPS) + i for i, g in enumerate(WORD_GROUPS) for w in g}
 
@@ -88,7 +93,7 @@ class Dom:
     """Elements of many pages in flat lists; text pieces carry their element and block."""
 
     def __init__(self):
-        self.parent, self.depth, self.feature, self.label, self.kind = [], [], [], [], []
+        self.parent, self.depth, self.feature, self.label, self.kind, self.top = [], [], [], [], [], []
         self.pieces: list[tuple[int, int, str]] = []  # (element, block, text)
         self.page_pieces = [0]
         self._known: dict[tuple[str, str], list[int]] = {}
@@ -112,6 +117,7 @@ class Dom:
         found = self._features(tag, attrs)
         self.feature.append(found)
         marked = any(c < MARKED or c >= len(TAG_GROUPS) for c in found)
+        self.top.append(tag in ("#page", "html", "body"))
         self.kind.append(0 if marked else 1 if tag in CONTAINERS else 2)
         self.label.append(int(m[1]) if (m := re.search(r'\by="([01])"', attrs)) else self.label[parent] if parent >= 0 else 0)
         return len(self.parent) - 1
@@ -199,23 +205,27 @@ class Dom:
         own = np.zeros(n)
         for e, _, t in self.pieces:
             own[e] += len(t.strip())
+        kind, top = np.array(self.kind), np.array(self.top)
+        children = np.bincount(parent[parent >= 0], minlength=n)
+        kind[(kind == 1) & (parent >= 0) & ~top[parent] & (children[parent] == 1) & (own[parent] == 0)] = WRAPPER
         x[:, -5] = own > 0
         x[:, -4] = linked / some
         x[:, -3] = np.log1p(np.minimum(chars, 400)) / 6
         x[:, -2] = np.minimum(points / some * 20, 1)
         x[:, -1] = (linked > 0.5 * some) & (chars > 0)
-        return parent, levels, x, np.array(self.kind)
+        x[kind == WRAPPER] = 0
+        return parent, levels, x, kind
 
 
 class Model:
     """Unary weights (last one the intercept) and the potentials pair[kind of child, child, parent]."""
 
     def __init__(self, weights: np.ndarray, pair: np.ndarray):
-        self.weights, self.pair = weights, pair
+        self.weights, self.pair = weights, np.concatenate((pair, SAME[None]))
 
     def propagate(self, parent: np.ndarray, levels: list[np.ndarray], x: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log marginals of every element, and of every (child, parent) pair, by an upward and a downward pass."""
-        z = np.column_stack((x, np.ones(len(x)))) @ self.weights
+        z = np.column_stack((x, kind != WRAPPER)) @ self.weights
         unary = np.stack((np.zeros(len(z)), z), axis=1)
         belief, up = unary.copy(), np.zeros_like(unary)
         for level in levels[:0:-1]:
@@ -245,10 +255,10 @@ def train(labelled: list[str], steps: int = 400, rate: float = 0.1, l2: float =
         dom.add(page)
     parent, levels, x, kind = dom.arrays()
     y = np.array(dom.label)
-    child = np.flatnonzero(parent >= 0)
+    child = np.flatnonzero((parent >= 0) & (kind != WRAPPER))
     seen, expected = np.zeros((3, 2, 2)), np.zeros((3, 2, 2))
     np.add.at(seen, (kind[child], y[child], y[parent[child]]), 1)
-    flat = np.column_stack((x, np.ones(len(x))))
+    flat = np.column_stack((x, kind != WRAPPER))
     n = N_FEATURES + 1
     w = np.zeros(n + 12)
     m1, m2 = np.zeros_like(w), np.zeros_like(w)

@@ -35,6 +35,12 @@ LAYOUTS = (
     '<html y="0"><head><title>@1</title></head><body><nav>#I</nav><div class="ad">@3</div>'
     '<article y="1"><h1>@5</h1><p><b>@1</b><br><p>@2</p><p>@3</p><p>@4</p></article><footer>&copy; host @5</footer></body></html>',
     '<html y="0"><body><nav>#I</nav><div class="ad">@2</div><article y="1"><h1>@3</h1><p>@5</p></article><footer>@4</footer></body></html>',
+    # wrappers inside and outside the main text
+    '<html y="0"><body><nav>#I</nav><article y="1"><div><div><div><p>@5</p></div></div><div><p>@1</p></div></div></article><footer>@2</footer></body></html>',
+    '<html y="0"><body><div class="page"><div><div class="main" y="1"><div><div><h1>@5</h1></div><div><div><p>@1</p><p>@4</p></div></div></div></div></div>'
+    '<div class="sidebar"><div><div><p>@2</p></div></div></div></div></body></html>',
+    '<html y="0"><body><article y="1"><section><div><p>@5</p></div></section><section><div>@1</div></section></article>'
+    '<footer><div><div>@1</div></div></footer></body></html>',
     # main element, header, sidebar
     '<html y="0"><body><header><h1>@5</h1><nav>#L</nav></header><main y="1"><h1>@5</h1><p>@1 <a href="/x">telo</a> @2</p><p>@4</p></main>'
     '<aside><h3>@5</h3><p>@2</p>#I</aside><footer><p>@3 #L</p></footer></body></html>',
