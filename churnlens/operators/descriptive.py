@@ -77,7 +77,7 @@ def _with_all_bins(agg: DataFrame, key: str, labels: list[str], zero_cols: list[
     dim = _bin_dimension(agg, key, labels)
     out = dim.join(agg, key, "left")
     fills = {c: 0 for c in zero_cols}
-    return out.na.fill(fills).drop(f"{key}_order")
+    return out.na.fill(fills)
 
 
 def charges_churn_count(df: DataFrame) -> DataFrame:

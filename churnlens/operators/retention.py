@@ -9,7 +9,7 @@ dimension joined (broadcast, constant size) after aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens import functions as fn
@@ -100,44 +100,69 @@ def high_risk_extract(scored: DataFrame, feature_columns: list[str], rows: int =
     return high_risk_customers(scored, feature_columns).orderBy(F.col(S.PROB).desc(), F.col(S.ID).asc()).limit(rows)
 
 
+def _lines(df: DataFrame, section: str, lines: list[tuple[Column, Column]]) -> DataFrame:
+    """(section, line_no, text) rows of ``lines`` = (number, text) per row of ``df``."""
+    structs = [F.struct(n.cast("int").alias("line_no"), t.alias("text")) for n, t in lines]
+    return df.select(F.lit(section).alias("section"), F.explode(F.array(*structs)).alias("l")).select("section", "l.line_no", "l.text")
+
+
+def _said(label: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{label}: "), value)
+
+
 def report_lines(scored: DataFrame) -> DataFrame:
-    """Numeric lines of the text report: per plan segment and the summary.
+    """Lines of the text report: per plan segment (numbers and plan text) and the summary.
 
     Segment numbering follows the plan order of the segments present.
     Returns (section, line_no, text); ``write_report`` writes it as text.
     """
-    from pyspark.sql import Window
-
     plan = retention_plan(scored)
     pos = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("segment_id"))  # <= 5 rows
-    p = plan.withColumn("pos", pos)
-    seg_lines = p.select(
-        F.lit("retention").alias("section"),
-        F.explode(
-            F.array(
-                F.struct((F.col("pos") * 10 + 1).alias("line_no"),
-                         F.concat(F.lit("Segment "), F.col("pos").cast("string"), F.lit(": "), F.col("segment")).alias("text")),
-                F.struct((F.col("pos") * 10 + 2).alias("line_no"),
-                         F.concat(F.lit("Customer Count: "), fn.count_text("customer_count")).alias("text")),
-                F.struct((F.col("pos") * 10 + 3).alias("line_no"),
-                         F.concat(F.lit("Average Churn Probability: "), fn.pct_text("avg_churn_probability")).alias("text")),
-                F.struct((F.col("pos") * 10 + 4).alias("line_no"),
-                         F.concat(F.lit("Monthly Revenue At Risk: "), fn.money_text("monthly_revenue_at_risk")).alias("text")),
-            )
-        ).alias("l"),
-    ).select("section", F.col("l.line_no").cast("int").alias("line_no"), F.col("l.text").alias("text"))
-    kpi = revenue_at_risk(scored)
-    summary = kpi.select(
-        F.lit("summary").alias("section"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(1).alias("line_no"),
-                         F.concat(F.lit("Total High-Risk Customers: "), fn.count_text("high_risk_customers")).alias("text")),
-                F.struct(F.lit(2).alias("line_no"),
-                         F.concat(F.lit("Total Monthly Revenue At Risk: "), fn.money_text("monthly_revenue_at_risk")).alias("text")),
-                F.struct(F.lit(3).alias("line_no"),
-                         F.concat(F.lit("Annual Revenue At Risk: "), fn.money_text("annual_revenue_at_risk")).alias("text")),
-            )
-        ).alias("l"),
-    ).select("section", F.col("l.line_no").cast("int").alias("line_no"), F.col("l.text").alias("text"))
-    return seg_lines.unionByName(summary)
+    p = plan.withColumn("pos", pos * 100)
+    at = F.col("pos")
+    title = F.concat(F.lit("Segment "), (at / 100).cast("int").cast("string"), F.lit(": "), F.col("segment"))
+    seg_lines = _lines(p, "retention", [
+        (at + 1, title),
+        (at + 2, _said("Customer Count", fn.count_text("customer_count"))),
+        (at + 3, _said("Average Churn Probability", fn.pct_text("avg_churn_probability"))),
+        (at + 4, _said("Monthly Revenue At Risk", fn.money_text("monthly_revenue_at_risk"))),
+        (at + 5, _said("Strategy", F.col("strategy"))),
+        (at + 30, _said("Expected Impact", F.col("expected_impact"))),
+        (at + 31, _said("Cost per Customer", F.col("cost_per_customer"))),
+        (at + 32, _said("ROI", F.col("roi"))),
+    ])
+    items = p.select("pos", F.posexplode(F.split("action_items", S.ACTION_SEPARATOR)).alias("i", "item")).select(
+        F.lit("retention").alias("section"), (at + 10 + F.col("i")).cast("int").alias("line_no"), F.concat(F.lit("  • "), F.col("item")).alias("text")
+    )
+    summary = _lines(revenue_at_risk(scored), "summary", [
+        (F.lit(1), _said("Total High-Risk Customers", fn.count_text("high_risk_customers"))),
+        (F.lit(2), _said("Total Monthly Revenue At Risk", fn.money_text("monthly_revenue_at_risk"))),
+        (F.lit(3), _said("Annual Revenue At Risk", fn.money_text("annual_revenue_at_risk"))),
+    ])
+    return seg_lines.unionByName(items).unionByName(summary)
+
+
+def _number(c: str) -> Column:
+    return F.coalesce(F.regexp_replace(F.format_number(F.col(c).cast("double"), 4), ",", ""), F.lit("nan"))
+
+
+def table_lines(evaluation: DataFrame, profile: DataFrame, importance: DataFrame | None = None) -> DataFrame:
+    """Lines of the report's first sections: evaluation, top features (if given), segment tables.
+
+    All three inputs are small results (five metrics, the features, the levels).
+    """
+    metric = F.array_position(F.array(*[F.lit(m) for m in S.METRIC_NAMES]), F.col("metric"))
+    out = _lines(evaluation, "evaluation", [(metric, F.concat(F.col("metric"), F.lit(": "), _number("value")))])
+    if importance is not None:
+        rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("importance").desc(), "feature"))
+        top = importance.withColumn("rank", rank).where(F.col("rank") <= S.TOP_FEATURES)
+        out = out.unionByName(_lines(top, "features", [(F.col("rank"), F.concat(F.col("feature"), F.lit(": "), _number("importance")))]))
+    dimension = F.array_position(F.array(*[F.lit(d) for d, _ in S.PROFILE_DIMENSIONS]), F.col("dimension"))
+    level = F.row_number().over(Window.partitionBy("dimension").orderBy("level"))
+    text = F.concat(
+        F.col("dimension"), F.lit(" "), F.col("level"), F.lit(": "),
+        F.concat_ws(", ", _number("actual_churn_rate"), _number("avg_churn_probability"), _number("avg_monthly_charges"),
+                    F.col("customer_count").cast("string")),
+    )
+    numbered = profile.withColumn("no", dimension * 100 + level)
+    return out.unionByName(_lines(numbered, "segments", [(F.col("no"), text)]))

@@ -156,14 +156,14 @@ SQL["charges_churn_count"] = FEAT + _counts_by("monthly_charges")
 SQL["contract_churn_count"] = FEAT + _counts_by("contract")
 SQL["tenure_churn_count"] = FEAT + f"""
 , c AS ({_counts_by("tenure_group")})
-SELECT bins.tenure_group, coalesce(c.n_no, 0) AS n_no, coalesce(c.n_yes, 0) AS n_yes
+SELECT bins.tenure_group, CAST(array_position({list(S.TENURE_LABELS)}, bins.tenure_group) - 1 AS INT) AS tenure_group_order, coalesce(c.n_no, 0) AS n_no, coalesce(c.n_yes, 0) AS n_yes
 FROM {TENURE_BINS} LEFT JOIN c ON c.tenure_group = bins.tenure_group"""
 
 SQL["charges_churn_rate"] = FEAT + _rate_by("monthly_charges")
 SQL["contract_churn_rate"] = FEAT + _rate_by("contract")
 SQL["tenure_churn_rate"] = FEAT + f"""
 , r AS ({_rate_by("tenure_group")})
-SELECT bins.tenure_group, coalesce(r.customers, 0) AS customers, r.churn_rate_pct
+SELECT bins.tenure_group, CAST(array_position({list(S.TENURE_LABELS)}, bins.tenure_group) - 1 AS INT) AS tenure_group_order, coalesce(r.customers, 0) AS customers, r.churn_rate_pct
 FROM {TENURE_BINS} LEFT JOIN r ON r.tenure_group = bins.tenure_group"""
 
 SQL["internet_churn_crosstab"] = FEAT + f"""
@@ -284,10 +284,16 @@ SELECT * FROM pl"""
 SQL["report_lines"] = _PLAN + """
 , p AS (SELECT *, row_number() OVER (ORDER BY segment_id) AS pos FROM pl),
 k AS (SELECT count(*) AS n, coalesce(sum(monthly_charges), 0e0) AS m FROM hr)
-SELECT 'retention' AS section, CAST(pos * 10 + 1 AS INT) AS line_no, 'Segment ' || pos || ': ' || segment AS text FROM p
-UNION ALL SELECT 'retention', CAST(pos * 10 + 2 AS INT), 'Customer Count: ' || format('{:,}', customer_count) FROM p
-UNION ALL SELECT 'retention', CAST(pos * 10 + 3 AS INT), 'Average Churn Probability: ' || format('{:.2f}%', avg_churn_probability * 100) FROM p
-UNION ALL SELECT 'retention', CAST(pos * 10 + 4 AS INT), 'Monthly Revenue At Risk: $' || format('{:,.2f}', monthly_revenue_at_risk) FROM p
+SELECT 'retention' AS section, CAST(pos * 100 + 1 AS INT) AS line_no, 'Segment ' || pos || ': ' || segment AS text FROM p
+UNION ALL SELECT 'retention', CAST(pos * 100 + 2 AS INT), 'Customer Count: ' || format('{:,}', customer_count) FROM p
+UNION ALL SELECT 'retention', CAST(pos * 100 + 3 AS INT), 'Average Churn Probability: ' || format('{:.2f}%', avg_churn_probability * 100) FROM p
+UNION ALL SELECT 'retention', CAST(pos * 100 + 4 AS INT), 'Monthly Revenue At Risk: $' || format('{:,.2f}', monthly_revenue_at_risk) FROM p
+UNION ALL SELECT 'retention', CAST(pos * 100 + 5 AS INT), 'Strategy: ' || strategy FROM p
+UNION ALL SELECT 'retention', CAST(pos * 100 + 9 + i AS INT), '  • ' || string_split(action_items, '; ')[i]
+  FROM p, LATERAL (SELECT unnest(range(1, len(string_split(action_items, '; ')) + 1)) AS i)
+UNION ALL SELECT 'retention', CAST(pos * 100 + 30 AS INT), 'Expected Impact: ' || expected_impact FROM p
+UNION ALL SELECT 'retention', CAST(pos * 100 + 31 AS INT), 'Cost per Customer: ' || cost_per_customer FROM p
+UNION ALL SELECT 'retention', CAST(pos * 100 + 32 AS INT), 'ROI: ' || roi FROM p
 UNION ALL SELECT 'summary', 1, 'Total High-Risk Customers: ' || format('{:,}', n) FROM k
 UNION ALL SELECT 'summary', 2, 'Total Monthly Revenue At Risk: $' || format('{:,.2f}', m) FROM k
 UNION ALL SELECT 'summary', 3, 'Annual Revenue At Risk: $' || format('{:,.2f}', m * 12) FROM k"""
@@ -386,3 +392,17 @@ SQL["service_display_name"] = FEAT + _SERVICE_LONG + """
 SELECT DISTINCT service, replace(replace(title, 'Streaming', 'Stream.'), 'Online', 'Onl.') AS display_name,
        lower(title) AS file_key
 FROM sr"""
+
+
+SQL["report_tables"] = f"""
+SELECT 'evaluation' AS section,
+       CAST(array_position({S.METRIC_NAMES}, metric) AS INT) AS line_no, metric || ': ' || format('{{:.4f}}', value) AS text
+FROM ({SQL["evaluation_table"]}) e
+UNION ALL
+SELECT 'segments',
+       CAST(array_position({[d for d, _ in S.PROFILE_DIMENSIONS]}, dimension) * 100
+            + row_number() OVER (PARTITION BY dimension ORDER BY level) AS INT),
+       dimension || ' ' || level || ': ' || coalesce(format('{{:.4f}}', actual_churn_rate), 'nan') || ', '
+         || coalesce(format('{{:.4f}}', avg_churn_probability), 'nan') || ', '
+         || coalesce(format('{{:.4f}}', avg_monthly_charges), 'nan') || ', ' || customer_count
+FROM ({SQL["segment_profile"]}) s"""

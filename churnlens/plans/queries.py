@@ -354,6 +354,22 @@ def q_scored_rows(spark, sf_dir):
     )
 
 
+@query("report_tables")
+def q_report_tables(spark, sf_dir):
+    """Evaluation and segment sections of the report as lines (scorecard)."""
+    return retention.table_lines(metrics.evaluation_table(sc_test(spark, sf_dir)), segments.segment_profile(sc(spark, sf_dir)))
+
+
+@query("model_report_lines")
+def q_model_report_lines(spark, sf_dir):
+    """The whole report as lines, from the model's scores."""
+    scored, model = MP.scored_all(spark, sf_dir), MP.fitted(spark, sf_dir)
+    first = retention.table_lines(
+        metrics.evaluation_table(MP.scored_test(spark, sf_dir)), segments.segment_profile(scored), M.feature_importance(model, spark)
+    )
+    return first.unionByName(retention.report_lines(scored))
+
+
 @query("plan_action_text")
 def q_plan_action_text(spark, sf_dir):
     """Action items of the plan rows present in the data, joined with '; '."""

@@ -34,5 +34,6 @@ def write_report(lines: DataFrame, path: str) -> None:
     The report has a few dozen lines (one block per plan segment plus the
     summary), so a single output file is bounded by construction.
     """
-    order = F.when(F.col("section") == "retention", 0).otherwise(1)
+    sections = F.array(*[F.lit(s) for s in ("evaluation", "features", "segments", "retention", "summary")])
+    order = F.array_position(sections, F.col("section"))
     lines.orderBy(order, "line_no").select("text").coalesce(1).write.mode("overwrite").text(path)

@@ -68,6 +68,9 @@ def test_reports_and_export(spark):
     assert len(_rows(spark, "model_retention_plan")) <= 5
     extract = _rows(spark, "model_high_risk_extract")
     assert len(extract) == min(high, S.HIGH_RISK_EXTRACT_ROWS)
+    lines = _rows(spark, "model_report_lines")
+    assert {r["section"] for r in lines} >= {"evaluation", "features", "segments", "summary"}
+    assert len({(r["section"], r["line_no"]) for r in lines}) == len(lines)
     first, again = _rows(spark, "export_results"), _rows(spark, "export_results")
     assert sorted(first) == sorted(again)
     assert {r["dataset"]: r["rows"] for r in first}["high_risk_customers"] == high
