@@ -16,6 +16,14 @@ def _no_cached_tables(spark):
     spark.catalog.clearCache()
 
 
+@pytest.fixture
+def written(spark):
+    """The shared subscriber table is there (reports that need totals write it)."""
+    from churnlens.plans import tables
+
+    return tables.enriched(spark, SF_CHECK)
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -39,7 +47,7 @@ def test_orders_filter_pushed_and_columns_pruned(spark):
     assert "o_totalprice" not in text
 
 
-def test_service_rates_scan_each_table_once(spark):
+def test_service_rates_scan_each_table_once(spark, written):
     text = _formatted(E.queries()["service_churn_rate"](spark, SF_CHECK))
     assert _scans(text) == 1  # the subscriber table once (six services via Expand)
     assert "Expand" in text
@@ -48,12 +56,21 @@ def test_service_rates_scan_each_table_once(spark):
     assert cols == {"churn", *S.SERVICE_COLUMNS}  # pruned to the 7 needed columns
 
 
-def test_reports_read_the_written_subscriber_table(spark):
+def test_reports_read_the_written_subscriber_table(spark, written):
     text = _formatted(E.queries()["tenure_churn_rate"](spark, SF_CHECK))
     assert _scans(text) == 1 and "churnlens-tables" in text
     assert "o_orderdate" not in text  # no orders aggregate per report
 
 
+def test_reports_without_totals_write_nothing(spark, monkeypatch):
+    from churnlens.plans import tables
+
+    tables.drop_tables(spark, SF_CHECK)
+    monkeypatch.setattr("churnlens.operators.clean.exact_median", lambda *a, **k: pytest.fail("median not needed"))
+    text = _formatted(E.queries()["label_map"](spark, SF_CHECK))
+    assert "churnlens-tables" not in text
+
+
 def test_segment_profile_single_pass(spark):
     text = _formatted(E.queries()["segment_profile"](spark, SF_CHECK))
     assert _scans(text) == 1  # one scan for the five dimensions
@@ -63,11 +80,9 @@ def test_high_risk_extract_is_top_k(spark):
     assert "TakeOrderedAndProject" in _plan(E.queries()["high_risk_extract"](spark, SF_CHECK))
 
 
-def test_split_offsets_broadcast(spark):
-    text = _formatted(E.queries()["stratified_split"](spark, SF_CHECK))
-    assert "BroadcastHashJoin" in text or "BroadcastExchange" in text
-    # every window over rows is partitioned (no single-partition window on rows)
-    assert "SinglePartition" not in text.split("BroadcastExchange")[0]
+def test_split_labels_rows_in_a_narrow_map(spark):
+    plan = _plan(E.queries()["stratified_split"](spark, SF_CHECK))
+    assert "Window" not in plan and "Join" not in plan  # the only exchange is for exact copies at the cut
 
 
 def test_retention_plan_dimension_broadcast(spark):
