@@ -1,22 +1,8 @@
-import os
-import sys
-
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-if ROOT not in sys.path:
-    sys.path.insert(0, ROOT)
-
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from churnlens.session import local_session
-
-    return local_session("*", shuffle_partitions=8)
-
-
 @pytest.fixture(scope="session")
 def docs_of(spark):
     """A documents table of (doc_id, text) or (doc_id, text, source) rows, with extra columns of clashing names."""
