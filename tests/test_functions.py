@@ -46,3 +46,11 @@ def test_service_count_counts_missing(spark):
     row = [None, "No", "No internet service", "Yes", "maybe", "No"]
     df = spark.createDataFrame([tuple(row)], ", ".join(f"{c} string" for c in S.SERVICE_COLUMNS))
     assert df.select(fn.service_count().alias("n")).first()["n"] == 3
+
+
+def test_lenient_double_takes_numbers_only(spark):
+    texts = ["1000", " 1.5 ", "-2e3", ".5", "5.", "inf", "-Infinity", "1000d", "1000f", "0x1p3", "1,000", "nan", "", " ", "abc", None]
+    want = [1000.0, 1.5, -2000.0, 0.5, 5.0, float("inf"), float("-inf")] + [None] * 9
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r["v"] for r in df.select("i", fn.lenient_double("t").alias("v")).orderBy("i").collect()]
+    assert got == want

@@ -30,3 +30,15 @@ def test_median_wide_range(spark):
     vals = [1e-300, 3.0, 5e300, -2e300, 0.0, 17.25]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     assert exact_median(df, "x", buckets=4, finish_rows=1) == float(np.median(vals))
+
+
+def test_infinities_stand_at_the_ends(spark):
+    import math
+
+    inf = math.inf
+    for values, want in (
+        ([1.0, 2.0, inf], 2.0), ([-inf, 1.0, 2.0], 1.0), ([1.0, inf], inf), ([-inf, 5.0, 7.0, inf], 6.0), ([inf], inf), ([-inf, -inf, 1.0], -inf),
+    ):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        assert exact_median(df, "x") == want
+    assert math.isnan(exact_median(spark.createDataFrame([(-inf,), (inf,)], "x double"), "x"))
