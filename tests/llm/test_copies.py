@@ -134,6 +134,60 @@ def test_repeated_passages_are_found_and_cut(docs_of):
     assert substring.repeated_spans(df.limit(0)).count() == 0
 
 
+def _covered(spans):
+    out = {}
+    for r in spans:
+        out.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    return out
+
+
+def test_passages_of_frequent_lines_equal_brute_force(docs_of):
+    rng = random.Random(21)
+    docs = []
+    for pool, first in ((40, 0), (400, 1000)):
+        lines = [_words(rng, 13) for _ in range(pool)]
+        some = [[rng.choice(lines) for _ in range(12)] for _ in range(300)]
+        for a in range(0, 40, 2):  # pairs that share six lines in order
+            some[a + 201][3:9] = some[a][5:11]
+        docs += [(first + d, [w for line in x for w in line]) for d, x in enumerate(some)]
+    spans = substring.repeated_spans(docs_of([(d, " ".join(w)) for d, w in docs])).collect()
+    covered, seen = _covered(spans), set()
+    for d, words in docs:
+        windows = [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
+        for i, x in enumerate(windows):
+            if x in seen:
+                assert set(range(i, i + 50)) <= covered.get(d, set()), (d, i)
+        seen.update(windows)
+    assert all((first + a + 201) in covered for first in (0, 1000) for a in range(0, 40, 2))
+
+
+def test_fuzzy_groups_equal_brute_force(docs_of):
+    rng = random.Random(22)
+    rows, groups = [], []
+    for g in range(12):
+        base, group = _words(rng, rng.randrange(55, 71)), []
+        for c in range(25):
+            copy = _edited(rng, base, 0 if c == 20 else 1)
+            before = rng.randrange(10, 40)
+            group.append((1000 * c + g, before, copy))
+            rows.append((1000 * c + g, " ".join(_words(rng, before) + copy + _words(rng, 30))))
+        groups.append(group)
+    covered = _covered(substring.repeated_spans(docs_of(rows)).collect())
+
+    def similar(a, b):
+        for i in range(len(a) - 49):
+            for j in range(i + 50, len(a) + 1):
+                x, y = set(_grams(a[i:j])), set(_grams(b[i:j]))
+                if a[i] == b[i] and a[j - 1] == b[j - 1] and 100 * len(x & y) >= 75 * len(x | y):
+                    return True
+        return False
+
+    for group in groups:
+        for c, (d, before, words) in enumerate(group):
+            if any(similar(words, other) for _, _, other in group[:c]):
+                assert len(covered.get(d, set()) & set(range(before, before + len(words)))) >= 50, d
+
+
 def test_benchmark_items_equal_brute_force(spark, docs_of):
     rng = random.Random(4)
     items = [(i, " ".join(_words(rng, rng.choice([3, 15, 20, 40])))) for i in range(12)] + [(50, None), (51, ""), (3, "x y z")]
