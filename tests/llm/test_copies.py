@@ -188,6 +188,19 @@ def test_fuzzy_groups_equal_brute_force(docs_of):
                 assert len(covered.get(d, set()) & set(range(before, before + len(words)))) >= 50, d
 
 
+def test_passages_with_words_put_in(docs_of):
+    rng = random.Random(23)
+    rows, want = [], {}
+    for g, (n, at, more) in enumerate([(90, 45, 13), (100, 30, 13), (200, 100, 40), (60, 30, 5), (120, 60, 25)]):
+        base = _words(rng, n)
+        rows.append((g, " ".join(_words(rng, 30) + base + _words(rng, 30))))
+        rows.append((100 + g, " ".join(_words(rng, 25) + base[:at] + _words(rng, more) + base[at:] + _words(rng, 30))))
+        want[100 + g] = set(range(25, 25 + n + more))
+        rows.append((200 + g, " ".join(_words(rng, 25) + base + _words(rng, 30) + base[:5] + _words(rng, 20))))
+        want[200 + g] = set(range(25, 25 + n))
+    assert _covered(substring.repeated_spans(docs_of(rows)).collect()) == want
+
+
 def test_benchmark_items_equal_brute_force(spark, docs_of):
     rng = random.Random(4)
     items = [(i, " ".join(_words(rng, rng.choice([3, 15, 20, 40])))) for i in range(12)] + [(50, None), (51, ""), (3, "x y z")]
