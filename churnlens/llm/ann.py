@@ -15,10 +15,13 @@ keeps its ``k`` best per block pair.  Queries that found fewer than ``k``
 vectors are answered from all rows, in the same blocks, so the result is
 never short.
 
-Inner product on vectors of unequal length: one coordinate
-sqrt(M^2 - |x|^2) is appended for hashing (0 for queries, M the largest
-length), which turns the largest inner product into the nearest direction;
-unit vectors get none.  Only vectors of equal dimension are compared.
+Inner product on vectors of unequal length: rows and queries are hashed by
+direction alone and scored by inner product.  Rows fall into ranges of length
+(powers of ``RANGE``); inside one the nearest direction is the largest inner
+product up to that factor, and a bucket's best are the best of all its ranges.
+A range with at most ``SPARSE`` rows is too thin for its best rows to lie near
+the query, so its rows are scored for every query, in blocks.  Only vectors of
+equal dimension are compared.
 
 Defined cases: null vectors, vectors that are empty, zero or hold a null or
 non-finite component, and rows with a null id take no part (neither as query
@@ -38,6 +41,8 @@ from churnlens.llm.common import Scratch
 TABLES = 8
 PROBES = 16
 BLOCK = 4096
+RANGE = 1.1
+SPARSE = 1024
 SEED = 11
 
 
@@ -69,7 +74,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _bucketed(vectors: DataFrame, tables: int, probes: int, longest: float, query: bool) -> DataFrame:
+def _bucketed(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
     """``vectors(id, dim, vec)`` -> one row per table and probed axis, with ``bucket``."""
 
     def run(batches):
@@ -78,12 +83,8 @@ def _bucketed(vectors: DataFrame, tables: int, probes: int, longest: float, quer
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
                 x = _matrix(part.column("vec"))
-                norm = np.linalg.norm(x, axis=1)
-                if query:
-                    x = x / norm[:, None]
-                if longest:
-                    rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(longest**2 - norm**2, 0))
-                    x = np.column_stack((x, rest))
+                x = x / np.abs(x).max(axis=1)[:, None]
+                x = x / np.linalg.norm(x, axis=1)[:, None]
                 for t in range(tables):
                     axes = signed_axes(x, t, probes)
                     row = np.repeat(np.arange(len(x)), axes.shape[1])
@@ -170,12 +171,19 @@ def nearest(
     )
     asked = scratch.save(usable(queries).select(F.col("vec_id").alias("id"), "dim", "vec"), "asked")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, c: a + c * c))
-    low, high = distinct.agg(F.min(norm), F.max(norm)).first()
-    longest = 0.0 if low is None or high - low <= 1e-5 * high else high
-    points = distinct.select("id", "dim", "vec")
-    hits = _best(
-        _bucketed(asked, tables, probes, longest, True), _bucketed(points, tables, 1, longest, False), k
-    )
+    # lengths that round to nothing or to infinity are ranges of their own
+    length = F.when(norm.between(1e-300, 1e300), F.round(F.log(norm) / np.log(RANGE))).otherwise(F.signum(norm - 1) * 1e6).cast("int")
+    points = distinct.select("id", "dim", "vec", length.alias("length"))
+    thin = points.groupBy("dim", "length").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SPARSE).select("dim", "length")
+    sparse = scratch.save(points.join(thin, ["dim", "length"], "left_semi").select("id", "dim", "vec"), "sparse")
+    dense = points.join(thin, ["dim", "length"], "left_anti").select("id", "dim", "vec")
+    points = points.select("id", "dim", "vec")
+
+    def whole(df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.col("dim").cast("long"))
+
+    hits = _best(_bucketed(asked, tables, probes), _bucketed(dense, tables, 1), k)
+    hits = hits.unionByName(_best(whole(asked), whole(sparse), k))
     hits = scratch.save(hits.groupBy("query_id", "id").agg(F.max("score").alias("score")), "hits")
 
     def expanded(found: DataFrame) -> DataFrame:
@@ -189,7 +197,7 @@ def nearest(
     short = scratch.save(
         asked.join(count, asked["id"] == count["query_id"], "left").where(F.coalesce("found", F.lit(0)) < k).select("id", "dim", "vec"), "short"
     )
-    whole = _best(short.withColumn("bucket", F.col("dim").cast("long")), points.withColumn("bucket", F.col("dim").cast("long")), k)
-    extra = expanded(whole).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    extra = _best(whole(short), whole(points), k)
+    extra = expanded(extra).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     done = ranked.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti")
     return done.unionByName(extra.select(*done.columns)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -114,6 +114,27 @@ def test_nearest_neighbours_recall_and_order(spark):
     assert hit / len(out) >= 0.9 and out["query_id"].nunique() == (ids % 20 == 0).sum()
 
 
+@pytest.mark.parametrize("lengths", ["one slightly longer", "one long", "spread", "two"])
+def test_nearest_neighbours_of_unequal_lengths(spark, lengths):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2400, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    scale = {"spread": rng.lognormal(0, 0.5, len(x)), "two": rng.choice([1.0, 1.3], len(x))}.get(lengths, np.ones(len(x)))
+    if lengths.startswith("one"):
+        scale[7] = 10.0 if lengths == "one long" else 1.001
+    x *= scale[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(rows, rows.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 120 and hit / (20 * len(got)) >= 0.9
+
+
 def test_nearest_neighbours_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [nan, 1.0]), (80, [1.0, None]), (100, [inf, 0.0]), (120, []), (None, [1.0, 0.0])]
