@@ -15,12 +15,14 @@ standard deviations.  A window that shares no shingle with any item has similari
 zero, so only windows over shared shingles are fingerprinted.
 
 Weights: a shingle weighs 1 + ln(items / items that contain it), so stock
-phrases of the benchmark count less; repeats add up.
+phrases of the benchmark count less; repeats add up.  Counts are taken over the whole benchmark, whatever its blocks.
 
-Distribution: the benchmark is the query set.  It is cut into blocks of
-``ITEMS`` items and about ``ITEM_BYTES`` of text, and each block's index goes
-to all tasks, which read the documents in one narrow map; a larger benchmark
-means more blocks, not a larger broadcast.
+Distribution: the benchmark is the query set.  Its shingles, their counts and
+the fingerprints are made in Spark; the weights of shingles that several items
+have go to all tasks once (all others weigh the same).  The finished items are
+cut into blocks of ``ITEMS`` items and about ``ITEM_BYTES`` of shingles, and
+each block's index goes to all tasks, which read the documents in one narrow
+map; a larger benchmark means more blocks, not a larger index.
 
 Normal form: texts and items are lower-cased (all letters) and ASCII
 punctuation separates words like white space does, so a passage in capitals
@@ -37,6 +39,7 @@ with a null id; empty tables give an empty result.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -76,45 +79,49 @@ def _packed(sums: np.ndarray) -> np.ndarray:
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+class Weights:
+    """Shingle weights over the whole benchmark: those of several items are listed, all others weigh the same."""
+
+    def __init__(self, n_items: int, shingles: np.ndarray, counts: np.ndarray):
+        order = np.argsort(shingles)
+        self.shingles = shingles[order]
+        self.weight = 1 + np.log(n_items / counts[order])
+        self.default = 1 + float(np.log(max(1, n_items)))  # of a shingle that one item has or none
+
+    def of(self, sh: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.full(len(sh), self.default)
+        at = np.minimum(np.searchsorted(self.shingles, sh), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == sh, self.weight[at], self.default)
+
+
 class Index:
-    """One block of benchmark items: shingles, weights, fingerprints and the multi-index."""
+    """One block of benchmark items: shingles, fingerprints and the multi-index."""
 
-    def __init__(self, ids: list[int], texts: list[str], n_items: int, counts: dict[int, int]):
-        self.ids, self.items, self.words = [], [], []
+    def __init__(self, rows: list, weights: Weights):
+        self.weights = weights
+        self.ids, self.items, self.words, prints = [], [], [], []
         self.short: dict[int, list[int]] = defaultdict(list)
-        for item, text in zip(ids, texts):
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            x = _words(raw, np.array([0, len(raw)]))
-            sh, _ = T.shingles_of(x.hashes(), x.first, K)
-            if not len(sh):
-                continue
-            if len(x.start) < K:
-                self.short[int(sh[0])].append(item)
+        for r in rows:
+            sh = np.frombuffer(r["shingles"], np.uint64)
+            if r["words"] < K:
+                self.short[int(sh[0])].append(r["item_id"])
                 continue
-            self.ids.append(item)
+            self.ids.append(r["item_id"])
             self.items.append(sh)
-            self.words.append(len(x.start))
-        weights = {h: 1 + float(np.log(n_items / max(1, c))) for h, c in counts.items()}
-        self.known = np.array(sorted({int(h) for sh in self.items for h in sh}), np.uint64)
-        self.weight = np.array([weights[int(h)] for h in self.known])
+            self.words.append(r["words"])
+            prints.append(np.frombuffer(r["print"], np.uint8))
+        self.known = np.unique(np.concatenate(self.items)) if self.items else np.zeros(0, np.uint64)
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.known >> np.uint64(44)).astype(np.int64)] = True
-        self.default = 1 + float(np.log(max(1, n_items)))  # of a shingle that no item has
         self.sets = [self._weighted(sh) for sh in self.items]
-        prints = [_packed((_bits(sh) * self.weights_of(sh)[:, None]).sum(axis=0, keepdims=True))[0] for sh in self.items]
         self.prints = np.array(prints, np.uint8).reshape(len(self.items), BITS // 8)
         self.sizes = np.array(sorted(set(self.words)), np.int64)
         self.tables = self._tables()
 
-    def weights_of(self, sh: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(sh), self.default)
-        at = np.minimum(np.searchsorted(self.known, sh), len(self.known) - 1)
-        return np.where(self.known[at] == sh, self.weight[at], self.default)
-
     def _weighted(self, sh: np.ndarray) -> dict[int, float]:
         out: dict[int, float] = defaultdict(float)
-        for h, w in zip(sh.tolist(), self.weights_of(sh).tolist()):
+        for h, w in zip(sh.tolist(), self.weights.of(sh).tolist()):
             out[h] += w
         return dict(out)
 
@@ -155,7 +162,7 @@ class Index:
 
     def _run(self, sh: np.ndarray, a: int, z: int, best: dict) -> None:
         part = sh[a:z]
-        w = self.weights_of(part)
+        w = self.weights.of(part)
         cum = np.zeros((len(part) + 1, BITS), np.float32)
         np.cumsum(_bits(part) * w[:, None].astype(np.float32), axis=0, out=cum[1:])
         shared = np.concatenate(([0], np.cumsum(np.isin(part, self.known))))
@@ -199,36 +206,53 @@ class Index:
                 best[item] = (sim, a + s, a + e + K - 1)
 
 
-def _index_blocks(benchmark: DataFrame) -> list[Index]:
-    """Indexes of blocks of items.  The blocks are read one after another; each is bounded by the parameters."""
-    items = (
-        benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
-        .where("text is not null")
-        .distinct()
-        .orderBy("item_id", "text")
-    )
+def _item_shingles(text: pa.Scalar) -> tuple[int, np.ndarray]:
+    raw = np.frombuffer(text.as_buffer(), np.uint8)
+    x = _words(raw, np.array([0, len(raw)]))
+    return len(x.start), T.shingles_of(x.hashes(), x.first, K)[0]
+
+
+def _weights(items: DataFrame) -> Weights:
+    """Counts over all items; only shingles of several items come to the driver."""
+
+    def run(batches):
+        for b in batches:
+            own = [np.unique(_item_shingles(t)[1]) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
+
+    counts = items.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
+    shingles = counts.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    return Weights(items.count(), shingles, counts.column("n").to_numpy())
+
+
+ITEM = "item_id long, words int, shingles binary, print binary"
+
+
+def _index_blocks(items: DataFrame, weights) -> Iterator[Index]:
+    """Indexes of blocks of items, whose finished rows are read one after another; each is bounded by the parameters."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for item, t in zip(b.column("item_id").to_pylist(), b.column("text")):
+                words, sh = _item_shingles(t)
+                if words:
+                    sums = (_bits(sh) * weights.value.of(sh)[:, None]).sum(axis=0, keepdims=True)
+                    rows.append((item, words, sh.tobytes(), _packed(sums)[0].tobytes()))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["item_id", "words", "shingles", "print"])
+
     block: list = []
     size = 0
-    rows = items.toLocalIterator()
-
-    def done(rs):
-        ids, texts = [r["item_id"] for r in rs], [r["text"] for r in rs]
-        counts: dict[int, int] = defaultdict(int)
-        for t in texts:
-            raw = np.frombuffer(t.encode(), np.uint8)
-            x = _words(raw, np.array([0, len(raw)]))
-            for h in np.unique(T.shingles_of(x.hashes(), x.first, K)[0]).tolist():
-                counts[h] += 1
-        return Index(ids, texts, len(rs), counts)
-
-    for r in rows:
+    for r in items.mapInArrow(run, ITEM).orderBy("item_id", "shingles").toLocalIterator():
         block.append(r)
-        size += len(r["text"])
+        size += len(r["shingles"])
         if len(block) >= ITEMS or size >= ITEM_BYTES:
-            yield done(block)
+            yield Index(block, weights.value)
             block, size = [], 0
     if block:
-        yield done(block)
+        yield Index(block, weights.value)
 
 
 LEAK = "doc_id long, item_id long, start_word int, end_word int, similarity double"
@@ -238,12 +262,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for every (document, item) found, with the best window and its similarity."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    items = (
+        benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
+        .where("text is not null")
+        .distinct()
+    )
+    weights = spark.sparkContext.broadcast(_weights(items))
     out = None
-    for index in _index_blocks(benchmark):
+    for index in _index_blocks(items, weights):
+        index.weights = None  # it has a broadcast of its own
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             index = shared.value
+            index.weights = weights.value
             for b in batches:
                 ids = b.column("doc_id")
                 rows = []

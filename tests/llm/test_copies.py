@@ -247,3 +247,35 @@ def test_benchmark_items_equal_brute_force(spark, docs_of):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {d for d, _ in rows} - {d for d, _ in want}
     assert decontaminate.contaminated(docs_of(rows), bench.limit(0)).count() == 0
     assert decontaminate.contaminated(docs_of(rows).limit(0), bench).count() == 0
+
+
+def test_benchmark_blocks_do_not_change_results(spark, docs_of, monkeypatch):
+    import math
+
+    rng = random.Random(6)
+    stock, items = _words(rng, 47), []
+    for i in range(9):  # an instruction that all items have, and words of their own
+        items.append((i, stock + _words(rng, 7)))
+    items += [(20 + i, _words(rng, 20)) for i in range(4)]
+    rows = [(0, stock), (1, stock + _words(rng, 7)), (2, _words(rng, 9) + items[8][1]), (3, _edited(rng, items[10][1], 1)), (4, stock[:30] + items[11][1])]
+    rows += [(5, items[2][1][:-2] + _words(rng, 2))]
+    count: dict = {}
+    for _, w in items:
+        for g in set(_grams(w)):
+            count[g] = count.get(g, 0) + 1
+    weight = lambda g: 1 + math.log(len(items) / count.get(g, 1))
+    want = set()
+    for d, words in rows:
+        have = _grams(words)
+        for i, w in items:
+            g = set(_grams(w))
+            for a in range(max(1, len(have) - len(g) + 1)):
+                part = set(have[a : a + len(g)])
+                if 100 * sum(map(weight, part & g)) >= 75 * sum(map(weight, part | g)):
+                    want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    docs = docs_of([(d, " ".join(w)) for d, w in rows])
+    assert (2, 8) in want and not any(d == 0 for d, _ in want)
+    for block in (4096, 3, 1):
+        monkeypatch.setattr(decontaminate, "ITEMS", block)
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == want, block
