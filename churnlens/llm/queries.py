@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import ann, chat, decontaminate, html_extract, mixing, neardup, quality, substring, toxicity, url_filter
+from churnlens.llm import ann, chat, decontaminate, html_extract, mixing, neardup, quality, substring, toxicity, url_filter, vector_codes
 from churnlens.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
@@ -62,10 +66,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 SQL: dict[str, str] = {
     "op1_url_filters": url_filter.RULES_SQL,
     "op4_mixing": mixing.MIX_SQL,
     "op7_chat_formatting": chat.CHAT_SQL,
+    "op11_vector_codes": vector_codes.CODES_SQL,
 }
