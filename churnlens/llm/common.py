@@ -52,3 +52,24 @@ def small(df: DataFrame, max_rows: int) -> bool:
 def crc_fold(id_col: str, folds: int):
     """crc32 of the id as text, modulo ``folds`` (null ids count as the empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
+
+
+#: A key is frequent if it has over 1 / HOT of all rows, so there are fewer than HOT frequent keys.
+HOT = 4096
+
+
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``found`` (one row per key, nulls equal) without one task per frequent key.
+
+    ``count`` names the column of ``found`` with a key's rows, ``total`` is
+    the number of all rows.  Frequent keys (fewer than ``HOT``) are broadcast,
+    the others are joined by shuffle and are thin.
+    """
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    more = [F.col(f"f.{c}") for c in found.columns if c not in keys]
+    hot = F.broadcast(found.where(F.col(count) * HOT > total)).alias("f")
+    cold = found.where(F.col(count) * HOT <= total).alias("f")
+    r = rows.alias("r")
+    near = r.join(hot, same("r", "f")).select("r.*", *more)
+    rest = r.join(hot, same("r", "f"), "left_anti").alias("r")
+    return near.unionByName(rest.join(cold, same("r", "f"), "left").select("r.*", *more))

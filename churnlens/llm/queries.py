@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import ann, chat, decontaminate, html_extract, mixing, neardup, quality, substring, toxicity, url_filter, vector_codes
+from churnlens.llm import ann, chat, decontaminate, html_extract, mixing, neardup, quality, repair, substring, toxicity, url_filter, vector_codes
 from churnlens.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 SQL: dict[str, str] = {
@@ -74,4 +79,5 @@ SQL: dict[str, str] = {
     "op4_mixing": mixing.MIX_SQL,
     "op7_chat_formatting": chat.CHAT_SQL,
     "op11_vector_codes": vector_codes.CODES_SQL,
+    "op12_conversation_repair": repair.REPAIR_SQL,
 }

@@ -22,7 +22,7 @@ sends one row per part and entry, with counts and sums; Spark adds those up.
 Only the codebooks (``ENTRIES`` x dimension integers, bounded by parameters)
 pass through the driver.  A vector that a third of the rows share is a run of
 one-entry blocks.  The sum over equal labels is joined back in two ways: a label
-with over 1 / ``HOT`` of the rows is broadcast (there are at most ``HOT``),
+with over 1 / ``HOT`` of the rows is broadcast (there are fewer than ``HOT``),
 the others are joined by shuffle and are thin.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import Scratch
+from churnlens.llm.common import Scratch, lookup
 from churnlens.session import ship_package
 
 PARTS = 4
@@ -53,7 +53,6 @@ ROUNDS = 4
 SCALE = 1024
 BLOCK = 32
 CHUNK = 16384
-HOT = 4096
 LIMIT = 1 << 24
 
 
@@ -349,13 +348,7 @@ def compress(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     coded = scratch.save(_coded(valid, books, dim), "coded")
     sums = scratch.save(coded.groupBy("label").agg(F.sum("error").alias("label_error"), F.count(F.lit(1)).alias("n")), "labels")
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    hot = sums.where(F.col("n") * HOT > total).select(F.col("label").alias("hot"), "label_error")
-    cold = sums.where(F.col("n") * HOT <= total).select(F.col("label").alias("cold"), "label_error")
-    near = coded.join(F.broadcast(hot), F.col("label").eqNullSafe(F.col("hot")))
-    rest = coded.join(F.broadcast(hot), F.col("label").eqNullSafe(F.col("hot")), "left_anti")
-    far = rest.join(cold, F.col("label").eqNullSafe(F.col("cold")))
-    names = ["vec_id", "code", "error", "label_error"]
-    out = near.select(*names).unionByName(far.select(*names))
+    out = lookup(coded, sums, ["label"], "n", total).select("vec_id", "code", "error", "label_error")
     return out.withColumn("codebooks_sha256", F.lit(codebook_digest(books)))
 
 
