@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from churnlens import schema as S
 from churnlens.operators import model as M
-from churnlens.operators import split
+from churnlens.operators import split, stages
 from churnlens.plans.tables import enriched, input_fingerprint
 from churnlens.session import ensure_checkpoint_dir, path_exists
 from churnlens.sources.subscribers import FIXTURE_COLUMNS
@@ -117,6 +117,12 @@ def scored_test(spark: SparkSession, sf_dir: str, params: M.GBTParams = M.GBTPar
     return scored_all(spark, sf_dir, params).where(F.col("split") == "test")
 
 
+def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain importances of the model, measured on the training rows of the given tables."""
+    model = fitted(spark, sf_dir)
+    return stages.gain_importance(split_table(spark, sf_dir).where(F.col("split") == "train"), model)
+
+
 def tree_summary(model: M.FittedModel, spark: SparkSession) -> DataFrame:
     """One row per boosted tree: weight, node count, depth (model size bound)."""
     gbt = model.gbt

@@ -241,6 +241,7 @@ def q_evaluation_table(spark, sf_dir):
 # ---- model: encoding, training, scoring, explanation -----------------------
 from churnlens.operators import explain as X  # noqa: E402
 from churnlens.operators import model as M  # noqa: E402
+from churnlens.operators import stages  # noqa: E402
 from churnlens.plans import modelling as MP  # noqa: E402
 
 
@@ -256,7 +257,8 @@ def q_label_encode(spark, sf_dir):
 
 @query("train_model")
 def q_train_model(spark, sf_dir):
-    return MP.tree_summary(MP.fitted(spark, sf_dir), spark)
+    """Trains anew on the given tables, whatever is stored."""
+    return MP.tree_summary(MP.fitted(spark, sf_dir, refresh=True), spark)
 
 
 @query("predict_test")
@@ -271,12 +273,19 @@ def q_batch_score(spark, sf_dir):
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    return M.feature_importance(MP.fitted(spark, sf_dir), spark)
+    return MP.importances(spark, sf_dir)
 
 
 @query("top_features")
 def q_top_features(spark, sf_dir):
-    return M.feature_importance(MP.fitted(spark, sf_dir), spark).limit(S.TOP_FEATURES)
+    return MP.importances(spark, sf_dir).limit(S.TOP_FEATURES)
+
+
+@query("learning_curve")
+def q_learning_curve(spark, sf_dir):
+    """AUC on the training and the test rows after every boosting round."""
+    rows = MP.split_table(spark, sf_dir).where(F.col("split").isNotNull())
+    return stages.learning_curve(rows, MP.fitted(spark, sf_dir))
 
 
 @query("model_evaluation")
@@ -338,7 +347,7 @@ def q_export_results(spark, sf_dir):
     scored = MP.scored_all(spark, sf_dir)
     tables = {
         "model_evaluation": metrics.evaluation_table(MP.scored_test(spark, sf_dir)),
-        "feature_importance": M.feature_importance(model, spark),
+        "feature_importance": MP.importances(spark, sf_dir),
         "segment_profile": segments.segment_profile(scored),
         "retention_plan": retention.retention_plan(scored),
         "high_risk_customers": retention.high_risk_customers(scored, model.features),
@@ -363,9 +372,9 @@ def q_report_tables(spark, sf_dir):
 @query("model_report_lines")
 def q_model_report_lines(spark, sf_dir):
     """The whole report as lines, from the model's scores."""
-    scored, model = MP.scored_all(spark, sf_dir), MP.fitted(spark, sf_dir)
+    scored = MP.scored_all(spark, sf_dir)
     first = retention.table_lines(
-        metrics.evaluation_table(MP.scored_test(spark, sf_dir)), segments.segment_profile(scored), M.feature_importance(model, spark)
+        metrics.evaluation_table(MP.scored_test(spark, sf_dir)), segments.segment_profile(scored), MP.importances(spark, sf_dir)
     )
     return first.unionByName(retention.report_lines(scored))
 
