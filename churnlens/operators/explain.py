@@ -172,6 +172,10 @@ def _explained(inp: DataFrame, model, kept: str) -> DataFrame:
     tables, base = _leaf_tables(spark, model.gbt, n_features)
     shared = spark.sparkContext.broadcast(tables)
     names = [c for c in inp.columns if c not in ("x", "margin")]
+    # written, so that the number of rows and the explanation share one scoring (and one shuffle)
+    path = scratch_path(spark, "vectors")
+    inp.write.parquet(path)
+    inp = spark.read.parquet(path)
 
     def explain(batches):
         tabs = shared.value

@@ -5,8 +5,9 @@ aggregation per tree level).  Its inputs are prepared by plain column work:
 
 * categorical values as text, missing -> 'nan', replaced by the 0-based rank
   of the level among the column's sorted levels (over the whole table, as the
-  analysed workflow does).  The level table is a distinct + rank in Spark and
-  is joined, so a column with any number of levels works; only columns counted
+  analysed workflow does).  The level table is a distinct + a rank by ranges
+  (``ranking.py``) and is joined, so a column with any number of levels works;
+  only columns counted
   to have at most ``FEW_LEVELS`` levels go as a literal map instead.  A level
   unknown to the model gets the next code;
 * numbers as doubles; a missing number becomes ``MISSING`` (-1, below the
@@ -29,12 +30,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlens import schema as S
 from churnlens.functions import churn_risk_band
+from churnlens.operators.ranking import ranked
 from churnlens.session import scratch_path
 
 #: id, label and what the model itself adds; other columns are left out through ``exclude``
@@ -74,8 +76,7 @@ def _text(c: str):
 def level_table(df: DataFrame, cats: list[str]) -> DataFrame:
     """``(column, level, code)``: the levels of every categorical column and their 0-based rank."""
     texts = df.select(*[_text(c).alias(c) for c in cats]).unpivot([], cats, "column", "level").distinct()
-    rank = F.row_number().over(Window.partitionBy("column").orderBy("level"))
-    return texts.select("column", "level", (rank - 1).cast("int").alias("code"))
+    return ranked(texts, "column", "level", "code").withColumn("code", F.col("code").cast("int"))
 
 
 @dataclass

@@ -176,3 +176,11 @@ def test_fit_rows_bound(spark):
     model = M.train(df, split.stratified_split(df).where("split = 'train'"), M.GBTParams(rounds=1, depth=2, max_rows=300), FIXTURE_COLUMNS)
     nodes = model.gbt.trees[0]
     assert nodes.numNodes >= 1
+
+
+def test_explanations_score_once(fitted):
+    model, _, test = fitted
+    out = X.shap_importance(test, model)
+    files = out.inputFiles()
+    assert files and all("vectors" in f for f in files)  # the written distinct vectors, nothing is scored again
+    assert len(out.collect()) == len(model.features)

@@ -42,3 +42,37 @@ def test_infinities_stand_at_the_ends(spark):
         df = spark.createDataFrame([(v,) for v in values], "x double")
         assert exact_median(df, "x") == want
     assert math.isnan(exact_median(spark.createDataFrame([(-inf,), (inf,)], "x double"), "x"))
+
+
+def _passes(monkeypatch):
+    from churnlens.operators import quantile
+
+    seen, real = [], quantile._digits
+    monkeypatch.setattr(quantile, "_digits", lambda win, bucket: seen.append(1) or real(win, bucket))
+    return seen
+
+
+def test_median_over_many_decades_takes_at_most_seven_passes(spark, monkeypatch):
+    seen = _passes(monkeypatch)
+    rng = np.random.default_rng(4)
+    for vals in (
+        np.exp(rng.uniform(-700, 700, 4001)),
+        -np.exp(rng.uniform(-700, 700, 4001)),
+        rng.standard_normal(4001) * 10.0 ** rng.integers(-300, 300, 4001),
+        1.0 + np.arange(4001) * 2.0**-52,
+        np.arange(4001) * 5e-324,
+        np.concatenate((np.full(1000, -1e308), np.nextafter(8.0, 0) - np.arange(2001) * 2.0**-50, np.full(1000, 1e308))),
+    ):
+        seen.clear()
+        df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(4)
+        assert exact_median(df, "x", finish_rows=1) == float(np.median(vals))
+        assert len(seen) <= 7
+
+
+def test_binade_is_exact_at_powers_of_two(spark):
+    from churnlens.operators.quantile import _binade, _exponent
+
+    vals = [s * x for e in range(-1074, 1024, 7) for x in (2.0**e, np.nextafter(2.0**e, 0), np.nextafter(2.0**e, np.inf)) for s in (1.0, -1.0)]
+    vals += [2.0**-1022, np.nextafter(2.0**-1022, 0), 2.0**1023, np.nextafter(np.inf, 0), 0.0, -0.0]
+    got = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "i int, x double").select("i", _binade(F.col("x")).alias("b")).collect()
+    assert {r["i"]: r["b"] for r in got} == {i: _exponent(float(v)) for i, v in enumerate(vals)}

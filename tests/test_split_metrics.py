@@ -124,3 +124,16 @@ def test_split_keeps_unlabelled_rows(spark):
     got = {r["customer_id"]: r["split"] for r in split.stratified_split(df).collect()}
     assert len(got) == 6 and got["a"] is None and None not in [v for k, v in got.items() if k != "a"]
     assert split.stratified_split(df.limit(0)).count() == 0
+
+
+def test_split_reads_id_and_label_only_to_find_the_cut(spark):
+    df = spark.range(5000).select(F.col("id").cast("string").alias(S.ID), (F.col("id") % 2).cast("int").alias(S.LABEL), F.lit("text").alias("note"))
+    out = split.stratified_split(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan and "structstojson" not in plan.lower()
+    assert _counts(out.withColumnRenamed(S.LABEL, "churn_label")) == {(0, "test"): 500, (0, "train"): 2000, (1, "test"): 500, (1, "train"): 2000}
+
+
+def test_split_of_few_and_of_one_row(spark):
+    one = spark.createDataFrame([("a", 1), ("b", 0), ("c", 0), ("d", 0)], f"{S.ID} string, {S.LABEL} int")
+    assert _counts(split.stratified_split(one).withColumnRenamed(S.LABEL, "churn_label")) == {(1, "train"): 1, (0, "test"): 1, (0, "train"): 2}
