@@ -112,6 +112,11 @@ FROM feat"""
 SQL["dataset_profile"] = SUBS + """
 SELECT count(*) AS n_rows, 15 AS n_columns FROM subs"""
 
+SQL["csv_quarantine"] = SUBS + """
+SELECT CASE WHEN k % 107 = 9 OR k % 103 = 8 THEN 'quarantine: fields' WHEN k % 101 = 7 THEN 'quarantine: value' ELSE 'rows' END AS kind,
+       count(*) AS n_rows
+FROM subs GROUP BY 1"""
+
 SQL["missing_count"] = SUBS + """
 SELECT count(*) FILTER (WHERE TRY_CAST(trim(total_charges_raw) AS DOUBLE) IS NULL) AS missing_total_charges,
        count(*) AS n_rows FROM subs"""

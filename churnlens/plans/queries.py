@@ -15,7 +15,8 @@ from churnlens import schema as S
 from churnlens.functions import lenient_double
 from churnlens.operators import clean, descriptive
 from churnlens.plans import tables
-from churnlens.sources.subscribers import FIXTURE_COLUMNS, dataset_profile
+from churnlens.session import scratch_path
+from churnlens.sources.subscribers import FIXTURE_COLUMNS, csv_lines, dataset_profile, split_subscribers_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +53,18 @@ def q_dataset_profile(spark, sf_dir):
     return dataset_profile(subs(spark, sf_dir))
 
 
+@query("csv_quarantine")
+def q_csv_quarantine(spark, sf_dir):
+    """The subscribers as CSV lines, some of them damaged by rule, read back: rows and quarantined lines by reason."""
+    k, folder = F.col("k"), scratch_path(spark, "csv")
+    lines = csv_lines(
+        subs(spark, sf_dir).withColumn(S.TENURE, F.when(k % 101 == 7, F.lit("n/a")).otherwise(F.col(S.TENURE).cast("string"))), "k"
+    )
+    cut = F.when(k % 103 == 8, F.regexp_replace("value", ",[^,]*$", "")).otherwise(F.col("value"))
+    lines.select(F.when(k % 107 == 9, F.concat("value", F.lit(",extra"))).otherwise(cut).alias("value")).write.text(f"{folder}/lines")
+    return split_subscribers_csv(spark, f"{folder}/lines", f"{folder}/split", header=False)
+
+
 @query("missing_count")
 def q_missing_count(spark, sf_dir):
     return clean.missing_count(subs(spark, sf_dir))

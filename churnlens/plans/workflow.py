@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.operators import descriptive, metrics, retention, segments, split
+from churnlens.operators import descriptive, metrics, retention, segments, split, stages
 from churnlens.operators import explain as X
 from churnlens.operators import model as M
 from churnlens.operators.features import enrich
@@ -63,7 +63,8 @@ def model_tables(subscribers: DataFrame, params: M.GBTParams = M.GBTParams(), ex
         "model_evaluation": metrics.evaluation_table(test),
         "confusion_matrix": metrics.confusion_matrix(test),
         "roc_curve": metrics.roc_curve(test),
-        "feature_importance": M.feature_importance(model, spark),
+        "feature_importance": stages.gain_importance(sp.where(F.col("split") == "train"), model),
+        "learning_curve": stages.learning_curve(sp.where(F.col("split").isNotNull()), model),
         "shap_importance": X.shap_importance(test, model),
         "segment_profile": segments.segment_profile(scored),
         "revenue_at_risk": retention.revenue_at_risk(scored),

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from churnlens import schema as S
 
@@ -109,10 +110,18 @@ def subscriber_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CORRUPT = "corrupt_record"
+#: What ``split_subscribers_csv`` writes (given when reading: a folder without rows has no schema of its own).
+SPLIT_SCHEMA = T.StructType(
+    [*(T.StructField(dst, typ) for _, dst, typ in S.CSV_COLUMNS), *(T.StructField(c, T.StringType()) for c in (CORRUPT, "reason", "file", "kind"))]
+)
+
+
 def read_subscribers_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read the telco CSV layout with a fixed schema (no inference pass).
 
-    ``PERMISSIVE`` keeps malformed rows as nulls; TotalCharges stays text and
+    ``PERMISSIVE`` keeps malformed rows, with nulls for what does not parse
+    (``split_subscribers_csv`` sets them apart); TotalCharges stays text and
     is parsed leniently by the cleaning step.
     """
     df = (
@@ -124,6 +133,61 @@ def read_subscribers_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select([F.col(src).alias(dst) for src, dst, _ in S.CSV_COLUMNS])
 
 
+def split_subscribers_csv(spark: SparkSession, path: str, out_dir: str, header: bool = True) -> DataFrame:
+    """Read the CSV layout once and write ``out_dir/rows`` and ``out_dir/quarantine``; returns (kind, n_rows).
+
+    A line whose number of fields differs from the layout, or with a value
+    that its column's type does not take, goes whole and unchanged to the
+    quarantine, with the reason (``fields`` or ``value``) and the file it came
+    from; no value of it reaches ``rows``.  Both sides are written from one
+    scan as two folders of one dataset, so the counts add up to the lines read.
+    Missing values (empty fields) are no fault, an empty line is no row.
+    """
+    schema = T.StructType([*S.CSV_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    # every column is parsed, so a fault in any of them is seen whatever the caller selects
+    raw = (
+        spark.read.schema(schema)
+        .option("header", header)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .csv(path)
+    )
+    bad = F.col(CORRUPT).isNotNull()
+    # commas outside quotes
+    fields = F.size(F.split(CORRUPT, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+    reason = F.when(bad, F.when(fields != len(S.CSV_COLUMNS), F.lit("fields")).otherwise(F.lit("value")))
+    good = [F.when(~bad, F.col(src)).alias(dst) for src, dst, _ in S.CSV_COLUMNS]
+    sides = raw.select(
+        *good, CORRUPT, reason.alias("reason"), F.when(bad, F.input_file_name()).alias("file"), F.when(bad, F.lit("quarantine")).otherwise(F.lit("rows")).alias("kind")
+    )
+    sides.write.mode("overwrite").partitionBy("kind").parquet(out_dir)
+    return (
+        spark.read.schema(SPLIT_SCHEMA)
+        .parquet(out_dir)
+        .groupBy(F.when(F.col("reason").isNull(), F.lit("rows")).otherwise(F.concat(F.lit("quarantine: "), F.col("reason"))).alias("kind"))
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+    )
+
+
+def csv_rows(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The rows that ``split_subscribers_csv`` took."""
+    return spark.read.schema(SPLIT_SCHEMA).parquet(out_dir).where("kind = 'rows'").select(*[dst for _, dst, _ in S.CSV_COLUMNS])
+
+
+def csv_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The lines it set apart: (line, reason, file)."""
+    return spark.read.schema(SPLIT_SCHEMA).parquet(out_dir).where("kind = 'quarantine'").select(F.col(CORRUPT).alias("line"), "reason", "file")
+
+
+def csv_lines(subscribers: DataFrame, *carry: str) -> DataFrame:
+    """Subscribers as lines of the CSV layout (columns they lack stay empty): ``carry`` columns and the text ``value``."""
+    def field(dst: str) -> Column:
+        text = F.coalesce(F.col(dst).cast("string"), F.lit("")) if dst in subscribers.columns else F.lit("")
+        return F.when(text.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(text)
+
+    return subscribers.select(*carry, F.concat_ws(",", *[field(dst) for _, dst, _ in S.CSV_COLUMNS]).alias("value"))
+
+
 def dataset_profile(df: DataFrame) -> DataFrame:
     """Row and column count of a table (``shape``): one aggregate, one row."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(

@@ -29,7 +29,7 @@ def test_every_query_has_oracle_or_is_model_based():
     assert model_based <= {
         "train_model", "predict_test", "batch_score", "feature_importance", "top_features", "model_evaluation",
         "model_confusion_matrix", "model_roc_curve", "model_classification_metrics", "model_roc_auc", "model_segment_profile", "model_revenue_at_risk",
-        "model_retention_plan", "model_high_risk_extract", "shap_importance", "export_results", "model_report_lines",
+        "model_retention_plan", "model_high_risk_extract", "shap_importance", "export_results", "model_report_lines", "learning_curve",
     }
 
 
