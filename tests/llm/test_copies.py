@@ -279,3 +279,21 @@ def test_benchmark_blocks_do_not_change_results(spark, docs_of, monkeypatch):
     for block in (4096, 3, 1):
         monkeypatch.setattr(decontaminate, "ITEMS", block)
         assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == want, block
+
+
+def test_several_texts_under_one_id_lose_no_passage_and_no_text(spark, docs_of):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, also = own(70), own(60)
+    texts = [own(40), f"{own(30)} {passage} {own(20)}", f"{own(10)} {also}"]
+    rows = [(1, f"{own(25)} {passage}"), (2, texts[0]), (2, texts[1]), (2, texts[1]), (0, f"{also} {own(30)}"), (2, texts[2])]
+    docs = docs_of(rows)
+    spans = substring.repeated_spans(docs).collect()
+    assert {(r["doc_id"], r["n_words"], r["first_doc_id"]) for r in spans} == {(2, 70, 1), (2, 60, 0)}
+    left = [r["text"] for r in corpus_pipeline.cut_passages(spark, docs, "").collect()]
+    assert sum(passage in t for t in left) == 1 and sum(also in t for t in left) == 1
+    assert sum(t == texts[0] for t in left) == 1 and len(left) == len(rows)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(kept) == sorted(set(rows))
