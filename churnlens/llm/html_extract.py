@@ -42,6 +42,8 @@ CHUNK_CHARS = 1 << 20
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+
 # HTML element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 UNRENDERED = set("script style head title template noscript textarea select option svg math iframe object canvas audio video".split())
@@ -166,8 +168,9 @@ class Dom:
                         break
             block += tag in BLOCK
             if tag in RAW:
-                lower = page.lower() if lower is None and len(page.lower()) == len(page) else lower
-                end = (lower if lower is not None else page).find(f"</{tag}", at)
+                # A-Z only: lower() would change the length of some pages
+                lower = page.translate(ASCII_LOWER) if lower is None else lower
+                end = lower.find(f"</{tag}", at)
                 if end < 0:
                     break
                 close = page.find(">", end)

@@ -56,3 +56,11 @@ def test_numbers_are_stable():
     x = T.words_of(np.frombuffer(b"a b", np.uint8), np.array([0, 3]))
     y = T.words_of(np.frombuffer(b"zz a b", np.uint8), np.array([0, 6]))
     assert x.hashes().tolist() == y.hashes()[1:].tolist()
+
+
+def test_raw_text_ends_at_any_case_also_beside_letters_that_grow():
+    from churnlens.llm.html_extract import Dom
+
+    dom = Dom()
+    dom.add("<body><p>İstanbul</p><SCRIPT>var a = '<p>';</SCRIPT><p>after</p><style>x</STYLE><p>end</p>")
+    assert [t for _, _, t in dom.pieces] == ["İstanbul", "after", "end"]
