@@ -168,8 +168,10 @@ class Dom:
                         break
             block += tag in BLOCK
             if tag in RAW:
-                # A-Z only: lower() would change the length of some pages
-                lower = page.translate(ASCII_LOWER) if lower is None else lower
+                if lower is None:
+                    lower = page.lower()
+                    if len(lower) != len(page):  # letters that grow: A-Z only
+                        lower = page.translate(ASCII_LOWER)
                 end = lower.find(f"</{tag}", at)
                 if end < 0:
                     break
