@@ -22,7 +22,8 @@ one space, blocks are trimmed and joined in page order by one space.  What is
 not rendered (scripts, styles, head, templates, comments) is no text.
 
 Defined cases: null or empty html gives the empty text; unclosed, stray and
-overlapping tags are closed where the next block, cell or item begins;
+overlapping tags are closed where the next block, cell or item begins; a tag
+that the page's end cuts off is dropped;
 repeated pages are extracted row by row; an empty table gives an empty result.
 """
 
@@ -37,9 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import html_pages
+from churnlens.session import ship_package
 
 CHUNK_CHARS = 1 << 20
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Quotes only quote a value right after its ``=``; an unquoted value ends at white space or ``>``, a quote that never
+#: closes is an ordinary character.  All repeats are possessive, so a page is scanned once.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -301,6 +309,7 @@ def main_texts(model: Model, pages: list[str]) -> list[str]:
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
+    ship_package(pages.sparkSession)
     model = model or train(html_pages.pages())
 
     def run(batches):

@@ -41,6 +41,14 @@ LAYOUTS = (
     '<div class="sidebar"><div><div><p>@2</p></div></div></div></div></body></html>',
     '<html y="0"><body><article y="1"><section><div><p>@5</p></div></section><section><div>@1</div></section></article>'
     '<footer><div><div>@1</div></div></footer></body></html>',
+    # link lists and link paragraphs inside the main text
+    '<html y="0"><body><nav>#I</nav><article y="1">#I</article><footer>#L</footer></body></html>',
+    '<article y="1">#I</article>',
+    '<article y="1"><p>@5</p><p><a href="/x">telo</a></p>#I</article>',
+    '<html y="0"><body><nav>#L</nav><article y="1"><p>@5</p><p><a href="/x">telo</a></p>#I</article><aside>#I</aside><footer>@3</footer></body></html>',
+    '<html y="0"><body><header>#L</header><main y="1"><h1>@5</h1>#I<p>#L</p><p>@1</p></main><div class="sidebar">#I</div></body></html>',
+    '<html y="0"><body><div class="menu">#I</div><div class="content" y="1"><p>@1</p>#I<p>#L</p><p>@2</p>#I</div><div class="footer">#L</div></body></html>',
+    '<html y="0"><body><article y="1"><h1>@5</h1><p>@1</p><h2>@3</h2>#I<p>@2</p><nav y="0">#I</nav><div class="related" y="0">#I</div></article></body></html>',
     # main element, header, sidebar
     '<html y="0"><body><header><h1>@5</h1><nav>#L</nav></header><main y="1"><h1>@5</h1><p>@1 <a href="/x">telo</a> @2</p><p>@4</p></main>'
     '<aside><h3>@5</h3><p>@2</p>#I</aside><footer><p>@3 #L</p></footer></body></html>',

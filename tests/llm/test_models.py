@@ -66,12 +66,23 @@ def test_article_text_is_exact(spark):
         assert got == want
 
 
+def _links(n):
+    return "<ul>" + "".join(f"<li><a href=/x{i}>L{i}</a></li>" for i in range(n)) + "</ul>"
+
+
 def test_pages_of_other_shapes(spark):
     cases = {
         "<article><p>A<!-- c --> b</p><form>f</form><div class='ad'>buy</div><p>C &lt;x&gt;&eacute;</p></article>": "A b C <x>é",
         "<p>Hel<b>lo</b> <i>you</i><br>there<p>x": "Hello you there x",
         "<body><nav>n</nav><main><h1>T</h1><script>if (a<b) '</p>'</script><ul><li>a<li>b</ul></main><footer>f</footer>": "T a b",
         "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>": "deep",
+        "<article><p title=it's>Hello world</p><p>It's fine here, right.</p></article>": "Hello world It's fine here, right.",
+        "<article><p class=\"a b\" d='q>r' id = \"z>\">one</p><p title=\"open>two</p><p x=/y/ z>three</p></article>": "one two three",
+        f"<nav>{_links(4)}</nav><article>{_links(6)}</article>": "L0 L1 L2 L3 L4 L5",
+        f"<article><p>A short one.</p><p><a href=/z>see this</a></p>{_links(3)}</article>": "A short one. see this L0 L1 L2",
+        f"<body><nav>{_links(5)}</nav><article><p>Long, with commas, and more. Yes.</p>{_links(2)}<p>End of it all.</p></article>"
+        f"<aside>{_links(4)}</aside></body>": "Long, with commas, and more. Yes. L0 L1 End of it all.",
+        "<article><p>whole</p></article><p>cut <a hre": "whole",
     }
     rows = [(i, "u", h, 1) for i, h in enumerate(cases)] + [(90, None, None, 1), (91, "u", "", 1), (92, "u", "<", 1), (0, "u", next(iter(cases)), 1)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
@@ -81,6 +92,39 @@ def test_pages_of_other_shapes(spark):
     assert got[90] == got[91] == "" and all(r["n_chars"] == len(r["text"]) for r in out)
 
 
+def test_no_pages_and_very_long_pages(spark):
+    schema = "page_id long, url string, html string"
+    assert html_extract.extract(spark.createDataFrame([], schema)).collect() == []
+    long = "<article>" + "<p>word &amp; word</p>" * 250_000 + "</article>"
+    broken = "<article>" + "<a title='it \"x " * 300_000 + "<b title=it's \"y" * 300_000
+    got = {r["page_id"]: r for r in html_extract.extract(spark.createDataFrame([(1, "u", long), (2, "u", broken)], schema)).collect()}
+    assert got[1]["text"] == " ".join(["word & word"] * 250_000) and got[2]["n_chars"] == len(got[2]["text"])
+
+
+def test_a_tag_is_cut_like_a_state_machine_does():
+    def tag_end(page):
+        """Index after the tag that begins at 0: quotes count only right after an equals sign and if they close."""
+        at, n = 1, len(page)
+        while at < n and page[at] != ">":
+            if page[at] != "=":
+                at += 1
+                continue
+            at += 1
+            while at < n and page[at].isspace():
+                at += 1
+            if at < n and page[at] in "\"'" and page.find(page[at], at + 1) >= 0:
+                at = page.find(page[at], at + 1) + 1
+            elif at < n and page[at] not in ">\"'":
+                while at < n and page[at] != ">" and not page[at].isspace():
+                    at += 1
+        return min(at + 1, n)
+
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        page = "<a " + "".join(rng.choice(list("x= \"'>/<"), 14))
+        assert html_extract.TOKEN.match(page).end() == tag_end(page), page
+
+
 def test_messages_equal_enumeration():
     rng = np.random.default_rng(1)
     n = 7
