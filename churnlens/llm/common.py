@@ -1,4 +1,4 @@
-"""Shared helpers: table reading, tables kept in the shared folder, size-checked broadcasts."""
+"""Shared helpers: table reading, tables kept in the shared folder, joins with frequent keys."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from churnlens.session import ensure_checkpoint_dir, ship_package
 
-#: Largest table (rows x bytes a row, both counted) that an operator may broadcast.
-BROADCAST_BYTES = 64 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
@@ -26,6 +23,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark = spark
         self.base = f"{ensure_checkpoint_dir(spark)}/churnlens-llm/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0

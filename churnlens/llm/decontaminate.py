@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as T
+from churnlens.session import ship_package
 
 K = 5
 PERCENT = 75
@@ -261,6 +262,7 @@ LEAK = "doc_id long, item_id long, start_word int, end_word int, similarity doub
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for every (document, item) found, with the best window and its similarity."""
     spark = docs.sparkSession
+    ship_package(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
