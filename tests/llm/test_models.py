@@ -179,6 +179,70 @@ def test_nearest_neighbours_of_unequal_lengths(spark, lengths):
     assert len(got) == 120 and hit / (20 * len(got)) >= 0.9
 
 
+def _pairs(x, queries, k=20):
+    """(query, neighbour) vectors by brute force."""
+    q, near = [], []
+    for i in queries:
+        s = x @ x[i]
+        s[i] = -np.inf
+        top = np.argsort(-s)[:k]
+        q += [x[i]] * k
+        near += list(x[top])
+    return np.array(q), np.array(near)
+
+
+@pytest.mark.parametrize("dim, spread", [(32, 0.0), (256, 0.0), (256, 0.1)])
+def test_fitted_probes_reach_recall_in_any_dimension(dim, spread):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(6000, dim))
+    x *= (rng.lognormal(0, spread, len(x)) / np.linalg.norm(x, axis=1))[:, None]
+    setting = ann.fit_settings(*_pairs(x, range(64)), len(x), len(x) // 20)
+    q, near = (ann._unit(v) for v in _pairs(x, range(1000, 1100)))
+    found = np.zeros(len(q), bool)
+    for t in range(setting.tables):
+        mine = ann.buckets(near, t, setting.order, 1)
+        found |= (ann.buckets(q, t, setting.order, setting.probes) == mine).any(axis=1)
+    assert found.mean() >= 0.9
+
+
+def test_candidate_share_falls_with_rows_on_clustered_data():
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(200, 64)), 30, axis=0) + 0.4 * rng.normal(size=(6000, 64))
+    q, near = _pairs(x, range(0, 6000, 100))
+    share = []
+    for rows in (2_000, 200_000, 20_000_000, 2_000_000_000):
+        s = ann.fit_settings(q, near, rows, rows // 20)
+        share.append(s.tables * s.probes / 128**s.order)
+    assert share == sorted(share, reverse=True) and share[-1] < share[0] / 4 and share[0] < 0.25
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_probes_are_the_nearest_buckets(order):
+    rng = np.random.default_rng(3)
+    q, x = (ann._unit(rng.normal(size=(200, 6))) for _ in range(2))
+    for table in (0, 1):
+        a, b = ann.signed_axes(q, table), ann.signed_axes(q, table, 1)
+        every = a if order == 1 else (a[:, :, None] + b[:, None, :]).reshape(len(q), -1)
+        got = ann.buckets(q, table, order, 20)
+        assert np.allclose(np.take_along_axis(every, got, 1), -np.sort(-every, axis=1)[:, :20])
+        ranks = ann.probe_ranks(q, x, table, order)
+        whole = ann.buckets(q, table, order, 16**order)
+        assert (np.take_along_axis(whole, ranks[:, None], 1) == ann.buckets(x, table, order, 1)).all()
+
+
+def test_order_two_and_unseen_dimensions_are_searched(spark):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(40, 16)), 30, axis=0) + 0.1 * rng.normal(size=(1200, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, [float(i), 1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), settings={16: ann.Setting(2, 4, 40)}).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hit = [len(set(found) & set(np.argsort(-np.where(np.arange(1200) == q, -np.inf, x @ x[q]))[:20].tolist())) for q, found in got.items() if q < 1200]
+    assert len(hit) == 60 and np.mean(hit) >= 18
+    assert all(len(set(v)) == 20 and all((i >= 5000) == (q >= 5000) for i in v) for q, v in got.items()) and {5000, 5020} < set(got)
+
+
 def test_nearest_neighbours_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [nan, 1.0]), (80, [1.0, None]), (100, [inf, 0.0]), (120, []), (None, [1.0, 0.0])]
