@@ -126,8 +126,8 @@ def probe_ranks(q: np.ndarray, x: np.ndarray, table: int, order: int) -> np.ndar
     total = mine + np.take_along_axis(second, of_x.argmax(axis=1)[:, None], 1)
     second = np.sort(second, axis=1)
     n = second.shape[1]
-    # the margin keeps a bucket from counting itself through rounding
-    return np.array([(n - np.searchsorted(s, t - f + 1e-12, "right")).sum() for f, s, t in zip(first, second, total[:, 0])])
+    # equal sums count as probed before
+    return np.array([(n - np.searchsorted(s, t - f - 1e-12)).sum() - 1 for f, s, t in zip(first, second, total[:, 0])])
 
 
 def fit_settings(q: np.ndarray, x: np.ndarray, rows: int, queries: int, recall: float = RECALL) -> Setting:
