@@ -1,20 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Method: five small transducers read a clause's tokens by class (insult,
-threat, target, negation, reported speech, other) and are composed into one
-deterministic machine.  The insult and threat transducers emit a weight at a
-match; the negation transducer lowers matches that follow a negation within
-two tokens, the reported-speech transducer lowers matches after a speech verb
-in the clause, the target transducer raises matches near an addressed person
-(before or after).  A clause scores the sum of its emitted weights; a document
-is scored from its best clause, the sum over clauses and the number of matched
-clauses through a logistic layer.
-
-The function words of the target, threat, negation and reported classes are
-fixed lists.  The insult lexicon and its weights (words and word beginnings,
+Method: small transducers read a clause's tokens by class and are composed
+into one deterministic machine.  The insult transducer emits a match at a word
+of the lexicon.  The threat transducer emits one where a whole threat has been
+read: an announcing speaker (``I will``, ``voy a``), a verb of harm and an
+addressed person or that person's kin beside it; an order to harm oneself; or
+an addressed person whom a modal and a passive put under the verb (``you will
+be shot``).  A verb of harm alone emits nothing.  The negation transducer lowers
+what follows a negation (matches within two tokens, threats announced after
+it), the reported-speech transducer lowers what follows a speech verb in the
+clause, the target transducer raises insults near an addressed person (before
+or after).  A clause scores the sum of its emitted weights; a document is scored
+from its best clause, the sum over clauses and the number of matched clauses
+through a logistic layer.
+
+The words of all classes but the insults are fixed lists.  The insult lexicon and its weights (words and word beginnings,
 so that productive compounds are covered) are learned from the labelled rows,
 as smoothed log odds of a term's document frequencies that must clear a
-confidence bound.  Near copies among the training rows count once.  The
+confidence bound.  A threat weighs as much as the lexicon's median term (with
+no lexicon ``THREAT_WEIGHT``).  Near copies among the training rows count once.  The
 logistic layer is fitted on rows that the lexicon has not seen.
 
 Bounds: training reads at most about ``TRAIN_ROWS`` labelled rows (chosen by
@@ -44,47 +48,112 @@ PREFIX_BYTES = (4, 5, 6, 7, 8)
 MIN_LOWER_ODDS = 2.2
 MIN_DOCS = 5
 
-# Function words of the grammar's closed classes, in four languages.
-TARGET = "you your yours you're u du dich dir dein deine ihr euch sie tu te toi ton ta vous votre tú ti te tu usted ustedes vosotros".split()
-THREAT = "kill killed hurt destroy burn shoot stab beat töten umbringen schlagen tuer frapper brûler matar golpear quemar".split()
-NEGATION = "not no never don't isn't aren't nobody nicht kein keine nie ne pas jamais non ni nunca jamás".split()
+# Words of the grammar's closed classes, in four languages.
+YOU = "you you're u du dich dir ihr euch sie te toi vous tú ti tu usted ustedes vosotros".split()
+YOUR = "your yours dein deine ton ta votre".split()
+SELF = "yourself yourselves".split()
+KIN = "family kids children wife husband mother father brother sister son daughter house home familie kinder famille enfants maison familia hijos casa".split()
+VERB = "kill killed hurt destroy burn burned shoot shot stab stabbed beat beaten töten umbringen schlagen tuer frapper brûler matar golpear quemar".split()
+SPEAKER = "i we ich wir je nous yo nosotros".split()
+MODAL = "will shall would must should could can may might gonna going want need deserve werden".split()
+INTENT = "i'll we'll i'd we'd i'm we're werde vais allons voy vamos".split()
+PASSIVE = "be get being getting".split()
+GO = "go just please now to a and all both of every one".split()
+NEGATION = "not no never don't isn't aren't won't can't nobody nicht kein keine nie ne pas jamais non ni nunca jamás".split()
 REPORTED = "said says say told called quoted wrote sagte sagt nannte schrieb dit disait écrit dijo dice llamó escribió".split()
 
-OTHER, INSULT, THREATENS, TARGETS, NEGATES, REPORTS = range(6)
-THREAT_WEIGHT = 2.0
+SYMBOLS = range(14)
+OTHER, INSULT, HARMS, TARGETS, OWNS, REFLECTS, RELATES, NEGATES, REPORTS, SPEAKS, WILLS, INTENDS, SUFFERS, LINKS = SYMBOLS
+ADDRESSED = (TARGETS, OWNS, REFLECTS)
+THREAT_WEIGHT = 4.0
 NEGATED, QUOTED, AIMED = 0.25, 0.4, 0.5  # factors of a match's weight; AIMED is added
 
 
-def _machine(n_states: int, step, emit):
-    """A transducer as tables: next[state, symbol] and out[state, symbol]."""
-    symbols = range(6)
-    return (
-        np.array([[step(s, x) for x in symbols] for s in range(n_states)]),
-        np.array([[emit(s, x) for x in symbols] for s in range(n_states)], dtype=float),
-    )
+def _machine(start, step):
+    """A transducer as tables next[state, symbol] and out[state, symbol]; ``step(state, symbol)`` gives (state, output)."""
+    number, rows = {start: 0}, []
+    for state in (found := [start]):
+        rows.append([step(state, x) for x in SYMBOLS])
+        for s, _ in rows[-1]:
+            if s not in number:
+                number[s] = len(found)
+                found.append(s)
+    return np.array([[number[s] for s, _ in r] for r in rows]), np.array([[o for _, o in r] for r in rows], dtype=float)
 
 
 def _compose(parts):
-    """Product machine: runs all transducers side by side and multiplies what they emit on a symbol."""
-    sizes = [len(p[0]) for p in parts]
-    n = int(np.prod(sizes))
-    nxt, out = np.zeros((n, 6), int), np.ones((n, 6))
-    for state in range(n):
-        own = np.unravel_index(state, sizes)
-        for x in range(6):
-            nxt[state, x] = np.ravel_multi_index([p[0][s, x] for p, s in zip(parts, own)], sizes)
-            out[state, x] = np.prod([p[1][s, x] for p, s in zip(parts, own)])
-    return nxt, out
-
-
-_MATCH = (INSULT, THREATENS)
-_match = _machine(1, lambda s, x: 0, lambda s, x: float(x in _MATCH))
-_negation = _machine(3, lambda s, x: 2 if x == NEGATES else max(0, s - 1), lambda s, x: NEGATED if s and x in _MATCH else 1.0)
-_reported = _machine(2, lambda s, x: 1 if s or x == REPORTS else 0, lambda s, x: QUOTED if s and x in _MATCH else 1.0)
-_before = _machine(4, lambda s, x: 3 if x == TARGETS else max(0, s - 1), lambda s, x: 1 + AIMED if s and x in _MATCH else 1.0)
-#: Composed grammar; a target that follows a match is added by ``_after``.
-NEXT, OUT = _compose([_match, _negation, _reported, _before])
-_after = _machine(4, lambda s, x: 3 if x in _MATCH else max(0, s - 1), lambda s, x: AIMED if s and x == TARGETS else 0.0)
+    """Product machine over the states reached: runs all transducers side by side, an output column for each."""
+    number, nxt, out = {(0,) * len(parts): 0}, [], []
+    for state in (found := list(number)):
+        row = []
+        for x in SYMBOLS:
+            to = tuple(int(p[0][s, x]) for p, s in zip(parts, state))
+            if to not in number:
+                number[to] = len(found)
+                found.append(to)
+            row.append(number[to])
+        nxt.append(row)
+        out.append([[p[1][s, x] for p, s in zip(parts, state)] for x in SYMBOLS])
+    return np.array(nxt), np.array(out)
+
+
+def _threat_step(state, x):
+    """Active threats: (words since the announcement began, announced, denied, what stands last)."""
+    since, announced, denied, last = state
+    out = 0.0
+    if announced:
+        # verb + person, verb + "your" + kin, or person + verb where the person stands beside the announcement
+        done = (last == "verb" and x == TARGETS) or (last == "verb your" and x == RELATES) or (last in ("person first", "person") and x == HARMS)
+        out = (NEGATED if denied else 1.0) * done
+    if x == HARMS:
+        last = "verb"
+    elif x == OWNS and last == "verb":
+        last = "verb your"
+    elif x == TARGETS:
+        last = "person" if last == "intent" else "addressed"
+    elif x == INTENDS:
+        last = "person first" if last == "addressed" else "intent"
+    elif x != LINKS or last not in ("verb", "person first", "person", "intent"):
+        last = ""
+    if x == SPEAKS:
+        return (1, announced, False if not announced else denied, last), out
+    if x == INTENDS or x == WILLS and since:
+        return (0, True, denied, "intent" if x == WILLS else last), out
+    return ((since + 1) % 4 if since else 0, announced, denied or x == NEGATES, last), out
+
+
+def _order_step(state, x):
+    """Orders to harm oneself: a clause that begins with the verb (or ``go``, ``please`` ... and the verb)."""
+    if state == "verb" and x == REFLECTS:
+        return "", 1.0
+    return ("start" if state == "start" and x == LINKS else "verb" if state == "start" and x == HARMS else ""), 0.0
+
+
+def _passive_step(state, x):
+    """A person, modals, a passive and the verb: ``you will be shot``."""
+    place, denied = state
+    if place == "passive" and x == HARMS:
+        return ("", False), NEGATED if denied else 1.0
+    if x == TARGETS:
+        return ("person", False), 0.0
+    if place in ("person", "modal") and x in (WILLS, NEGATES, LINKS):
+        return ("modal" if x == WILLS else place, denied or x == NEGATES), 0.0
+    return ("passive" if place == "modal" and x == SUFFERS else "", denied), 0.0
+
+
+_insult = _machine(0, lambda s, x: (0, x == INSULT))
+_threat = _machine((0, False, False, ""), _threat_step)
+_order = _machine("start", _order_step)
+_passive = _machine(("", False), _passive_step)
+_negation = _machine(0, lambda s, x: (2 if x == NEGATES else max(0, s - 1), NEGATED if s else 1.0))
+_reported = _machine(0, lambda s, x: (int(s or x == REPORTS), QUOTED if s else 1.0))
+_before = _machine(0, lambda s, x: (3 if x in ADDRESSED else max(0, s - 1), 1 + AIMED if s else 1.0))
+PARTS = (_insult, _threat, _order, _passive, _negation, _reported, _before)
+#: Composed grammar and its two outputs; a target that follows an insult is added by ``_after``.
+NEXT, _OUTS = _compose(PARTS)
+OUT = _OUTS[:, :, 0] * _OUTS[:, :, 4] * _OUTS[:, :, 5] * _OUTS[:, :, 6]
+THREATS = (_OUTS[:, :, 1] + _OUTS[:, :, 2] + _OUTS[:, :, 3]) * _OUTS[:, :, 5]
+_after = _machine(0, lambda s, x: (3 if x == INSULT else max(0, s - 1), AIMED if s and x in ADDRESSED else 0.0))
 
 _SEPARATE = np.zeros(256, bool)
 _SEPARATE[[*range(0x00, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
@@ -101,7 +170,13 @@ def _hash_list(words: list[str]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-CLOSED = {TARGETS: _hash_list(TARGET), THREATENS: _hash_list(THREAT), NEGATES: _hash_list(NEGATION), REPORTS: _hash_list(REPORTED)}
+CLOSED = {
+    k: _hash_list(v)
+    for k, v in (
+        (TARGETS, YOU), (OWNS, YOUR), (REFLECTS, SELF), (RELATES, KIN), (HARMS, VERB), (SPEAKS, SPEAKER), (WILLS, MODAL), (INTENDS, INTENT),
+        (SUFFERS, PASSIVE), (LINKS, GO), (NEGATES, NEGATION), (REPORTS, REPORTED),
+    )
+}
 
 
 def _terms(x: T.Words):
@@ -122,6 +197,7 @@ class Lexicon:
     def __init__(self, terms: np.ndarray, weights: np.ndarray):
         order = np.argsort(terms)
         self.terms, self.weights = terms[order], weights[order]
+        self.threat = float(np.median(weights)) if len(weights) else THREAT_WEIGHT
         self.seen = np.zeros(1 << self.BITS, bool)
         self.seen[(terms >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
 
@@ -155,8 +231,7 @@ def clause_scores(x: T.Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]
     pos, kind = _CLOSED_LEX.weigh(whole)
     symbol[pos] = kind.astype(int)
     symbol[weight > 0] = INSULT
-    weight[symbol == THREATENS] = THREAT_WEIGHT
-    hit = np.flatnonzero((symbol == INSULT) | (symbol == THREATENS))
+    hit = np.flatnonzero((symbol == INSULT) | (symbol == HARMS))
     if not len(hit):
         return np.zeros(0, int), np.zeros(0)
     doc = np.searchsorted(x.first, np.arange(len(x.start)), "right") - 1
@@ -171,13 +246,14 @@ def clause_scores(x: T.Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]
         state, pending, total, last = 0, 0, 0.0, 0.0
         for i in range(a, b):
             s = symbol[i]
-            total += weight[i] * OUT[state, s]
+            total += weight[i] * OUT[state, s] + lexicon.threat * THREATS[state, s]
             total += last * _after[1][pending, s]
-            last = weight[i] if s in _MATCH else last
+            last = weight[i] if s == INSULT else last
             state, pending = NEXT[state, s], _after[0][pending, s]
-        docs.append(doc[a])
-        scores.append(total)
-    return np.array(docs), np.array(scores)
+        if total:
+            docs.append(doc[a])
+            scores.append(total)
+    return np.array(docs, int), np.array(scores)
 
 
 N_FEATURES = 3

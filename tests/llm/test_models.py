@@ -1,6 +1,7 @@
 """Toxicity, quality, HTML extraction and nearest neighbours: held-out accuracy, recall and edge cases."""
 
 import html
+import itertools
 import re
 
 import numpy as np
@@ -56,6 +57,62 @@ def test_grammar_lowers_negated_and_reported_matches():
     assert best("not so. gronk here") == plain and best("nothing here") == 0
 
 
+THREATS = [
+    "I will kill you", "I'll burn your house down", "we are going to, we will beat all of you", "ich werde dich töten", "je vais te tuer",
+    "te voy a matar", "go kill yourself", "you will be shot",
+]
+HARMLESS = [
+    "kill the process and burn the CD", "how to burn calories and beat eggs; shoot photos, not videos", "I will beat eggs for you",
+    "you can beat eggs", "I will help you kill the process", "don't hurt yourself", "I will shoot your wedding", "this will hurt a little",
+]
+
+
+def _scored(model, text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return model.score(raw, np.array([0, len(raw)]))[0]
+
+
+def test_threats_are_whole_patterns_not_verbs(spark):
+    model = toxicity.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    nothing = _scored(model, "nothing here")
+    assert nothing < 0.5
+    assert all(_scored(model, t) == nothing for t in HARMLESS)
+    assert all(_scored(model, t) > 0.5 for t in THREATS)
+    assert _scored(model, "I will not kill you") < _scored(model, "I will kill you")
+    assert _scored(model, "she said I will kill you") < _scored(model, "I will kill you")
+
+
+def test_composed_machine_runs_every_transducer():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        word = rng.integers(0, len(toxicity.SYMBOLS), 12)
+        state, own = 0, [0] * len(toxicity.PARTS)
+        for x in word:
+            insult, threat, order, passive, negation, reported, before = (p[1][s, x] for p, s in zip(toxicity.PARTS, own))
+            assert toxicity.OUT[state, x] == insult * negation * reported * before
+            assert toxicity.THREATS[state, x] == (threat + order + passive) * reported
+            own = [p[0][s, x] for p, s in zip(toxicity.PARTS, own)]
+            state = toxicity.NEXT[state, x]
+
+
+def test_threat_transducer_equals_enumeration():
+    letters = {"o": toxicity.OTHER, "H": toxicity.HARMS, "T": toxicity.TARGETS, "S": toxicity.SPEAKS, "W": toxicity.WILLS, "N": toxicity.NEGATES}
+    found = 0
+    for word in ("".join(w) for n in range(1, 7) for w in itertools.product(letters, repeat=n)):
+        want = 0.0
+        announced = re.search("S[^SW]{0,2}W", word)
+        for i in range(announced.end() if announced else len(word), len(word)):
+            if word[i - 1 : i + 1] == "HT" and i - 1 >= announced.end() or re.search("S[^SW]{0,2}WTH$", word[: i + 1]):
+                want += toxicity.NEGATED if "N" in word[announced.start() : i] else 1.0
+        state, got = 0, 0.0
+        for x in word:
+            got += toxicity.THREATS[state, letters[x]]
+            state = toxicity.NEXT[state, letters[x]]
+        assert got == want, word
+        found += want > 0
+    assert found > 300
+
+
 def test_article_text_is_exact(spark):
     pages = table(spark, SF, "pages").collect()
     model = html_extract.train(html_pages.pages())
