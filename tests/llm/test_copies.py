@@ -297,3 +297,14 @@ def test_several_texts_under_one_id_lose_no_passage_and_no_text(spark, docs_of):
     assert sum(t == texts[0] for t in left) == 1 and len(left) == len(rows)
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sorted(kept) == sorted(set(rows))
+
+
+def test_contamination_of_very_long_and_repeated_rows(spark, docs_of):
+    words = [f"w{i}" for i in range(60)]
+    item, filler = " ".join(words[:30]), " ".join(f"z{i % 997}" for i in range(200_000))
+    bench = spark.createDataFrame([(7, item, "x")], "item_id long, text string, doc_id string")
+    rows = [(1, f"{filler} {item} {filler}"), (2, item), (2, item), (2, "other text of this id, six words"), (3, filler)]
+    found = sorted(tuple(r) for r in decontaminate.contaminated(docs_of(rows), bench).select("doc_id", "item_id", "start_word", "end_word").collect())
+    assert found == [(1, 7, 200_000, 200_030), (2, 7, 0, 30), (2, 7, 0, 30)]
+    kept = [r["doc_id"] for r in decontaminate.remove_contaminated(docs_of(rows), bench).collect()]
+    assert kept == [3]

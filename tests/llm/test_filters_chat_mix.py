@@ -57,6 +57,15 @@ def test_chat_round_trip_of_conflicting_content(spark):
     assert chat.format_chats(spark.createDataFrame([], CHAT)).count() == 0
 
 
+def test_chat_of_a_very_long_text(spark):
+    text = "ab <|im_end|>\n" * 100_000
+    rows = [(1, 0, "user", "q", 0), (1, 1, "assistant", text, 0)]
+    formatted = chat.format_chats(spark.createDataFrame(rows, CHAT))
+    assert formatted.collect()[0]["turns"][1]["text"] == text
+    digest = chat.digests(formatted).collect()[0]
+    assert digest["loss_chars"] == len(text) and digest["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def _brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
@@ -100,3 +109,14 @@ def test_mix_of_nothing(docs_of):
     df = docs_of([(1, "a b", "s")])
     assert mixing.mix(df.limit(0)).count() == 0
     assert [r["taken"] for r in mixing.mix(docs_of([(1, None, "s"), (2, " ", None)])).collect()] == [0, 0]
+
+
+def test_mix_of_a_very_long_text_and_many_rows_without_id(docs_of):
+    rows = [(1, "w " * 600_000, "s"), (2, "w " * 10, "s")] + [(None, "w " * (k % 5), "t") for k in range(2000)]
+    out = mixing.mix(docs_of(rows)).collect()
+    sizes = {s: sum(r["size"] for r in out if r["source"] == s) for s in "st"}
+    assert sizes == {"s": 600_010, "t": 4000} and {r["size"] for r in out if r["doc_id"] == 1} == {600_000}
+    want = _brute_targets(sizes)
+    for s in sizes:
+        assert abs(sum(r["taken"] for r in out if r["source"] == s) - want[s]) <= 0.5 + 1e-9
+    assert all(r["taken"] <= 2 * r["size"] for r in out)
