@@ -36,7 +36,19 @@ class Scratch:
         out._scratch_path = path  # noqa: SLF001 - read back by drop()
         return out
 
+    def bucketed(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """``df`` as a table in sorted buckets of ``key``, one a shuffle partition: joins on it move the other side only."""
+        self.n += 1
+        path, n = f"{self.base}/{self.n}-{name}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        known = f"churnlens_{name}_{uuid.uuid4().hex[:12]}"
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(known)
+        out = self.spark.table(known)
+        out._scratch_path, out._scratch_table = path, known  # noqa: SLF001
+        return out
+
     def drop(self, df: DataFrame) -> None:
+        if hasattr(df, "_scratch_table"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {df._scratch_table}")
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(conf).delete(path, True)
