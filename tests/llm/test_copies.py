@@ -308,3 +308,33 @@ def test_contamination_of_very_long_and_repeated_rows(spark, docs_of):
     assert found == [(1, 7, 200_000, 200_030), (2, 7, 0, 30), (2, 7, 0, 30)]
     kept = [r["doc_id"] for r in decontaminate.remove_contaminated(docs_of(rows), bench).collect()]
     assert kept == [3]
+
+
+def test_frequent_partners_are_dealt_out(docs_of, monkeypatch):
+    """Chains with one frequent partner give the same spans whole and in groups; repeated rows change nothing."""
+    rng = random.Random(31)
+    line = _words(rng, 64)
+    rows = [(d, " ".join(_words(rng, 30) + _edited(rng, line, d % 2) + _words(rng, 30))) for d in range(24)]
+    rows += [rows[3], rows[3]]
+    want = sorted(map(str, substring.repeated_spans(docs_of(rows)).collect()))
+    assert len(want) == 23
+    monkeypatch.setattr(substring, "GROUP", 3)
+    assert sorted(map(str, substring.repeated_spans(docs_of(rows)).collect())) == want
+
+
+def test_pair_chains_equal_joined_matches():
+    """Chains of a pair from its two seed lists are those of all equal seeds joined one by one."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    rows, matches = [], []
+    for k in range(40):
+        h, g = rng.integers(0, 30, rng.integers(1, 40)), rng.integers(0, 30, rng.integers(1, 40))
+        pos, at = np.sort(rng.choice(400, len(h), False)), np.sort(rng.choice(400, len(g), False))
+        rows.append((100 + k, k, h.tolist(), pos.tolist(), g.tolist(), at.tolist()))
+        matches += [(100 + k, k, p, a) for x, p in zip(h, pos) for y, a in zip(g, at) if x == y]
+    names = ["doc", "partner", "h", "pos", "g", "at"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+    got = [tuple(r.values()) for b in substring._pair_chains(iter([batch])) for r in b.to_pylist()]
+    want = [tuple(map(int, c)) for c in substring._chained(*(np.array(c) for c in zip(*matches)))]
+    assert got == want and want
