@@ -15,10 +15,11 @@ aggregation per tree level).  Its inputs are prepared by plain column work:
   infinities become +-1e30.  The same at fit, score and explanation.
 
 The trees split on code order (no nominal metadata).  MLlib samples rows per
-partition, so the training rows are placed by hash of the id in a fixed number
-of partitions (a parameter of the model) and sorted inside them: the fitted
-model does not depend on the cluster or on how the input was cut.  At most
-about ``max_rows`` labelled rows, chosen by id hash, are used to fit.
+partition, so the training rows are placed by hash of the id in a number of
+partitions that follows from the parameters and the number of rows alone
+(``n_partitions``) and sorted inside them: the fitted model does not depend on
+the cluster or on how the input was cut.  At most about ``max_rows`` labelled
+rows, chosen by id hash, are used to fit.
 """
 
 from __future__ import annotations
@@ -55,10 +56,23 @@ class GBTParams:
     column_sample: float = S.GBT_COLUMN_SAMPLE
     seed: int = S.GBT_SEED
     max_bins: int = S.GBT_MAX_BINS
-    partitions: int = 4
+    partitions: int = 4  # of the training rows, at least
+    spread_rows: int = 45_000  # rows a partition of them has, up to ``spread`` partitions
+    spread: int = 24
+    most_rows: int = 250_000  # then they grow to this many rows, and only then in number
     max_rows: int = 2_000_000
 
 
+def n_partitions(n: int, params: GBTParams) -> int:
+    """Partitions of ``n`` training rows.
+
+    Every tree level is a job over all of them, so their size sets the time of
+    a round; each also starts a task and sends its histograms, so beyond
+    ``spread`` their number grows slowly.
+    """
+    return max(params.partitions, min(params.spread, n // params.spread_rows), -(-n // params.most_rows))
+
+
 def feature_columns(df: DataFrame, exclude=()) -> list[str]:
     """Model inputs: every column except id, label, the model's own outputs and ``exclude``."""
     return [c for c in df.columns if c not in NOT_INPUTS and c not in exclude]
@@ -159,8 +173,9 @@ def train(df: DataFrame, train_rows: DataFrame, params: GBTParams = GBTParams(),
     if n > params.max_rows:
         unit = 1 << 30
         labelled = labelled.where(F.pmod(F.xxhash64(S.ID, F.lit(params.seed)), F.lit(unit)) < int(params.max_rows / n * unit))
+    parts = n_partitions(min(n, params.max_rows), params)
     row = F.xxhash64(*[F.col(c) for c in features])
-    placed = prepared(labelled, features, cats, levels).repartition(params.partitions, S.ID).sortWithinPartitions(S.ID, row)
+    placed = prepared(labelled, features, cats, levels).repartition(parts, S.ID).sortWithinPartitions(S.ID, row)
     inputs = [f"{c}__code" if c in cats else f"{c}__num" for c in features]
     gbt = GBTClassifier(
         featuresCol="features",

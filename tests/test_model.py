@@ -184,3 +184,16 @@ def test_explanations_score_once(fitted):
     files = out.inputFiles()
     assert files and all("vectors" in f for f in files)  # the written distinct vectors, nothing is scored again
     assert len(out.collect()) == len(model.features)
+
+
+def test_training_rows_spread_over_more_tasks_as_they_grow(spark, monkeypatch):
+    """A tree level is one pass over all partitions: with four of them more rows and cores did not meet."""
+    p = M.GBTParams()
+    assert [M.n_partitions(n, p) for n in (0, 72_000, 224_999, 720_000, 2_000_000, 60_000_000)] == [4, 4, 4, 16, 24, 240]
+    seen = []
+    fit = M.Pipeline.fit
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    df = MP.subscribers(spark, "/root/testdata/sf0.001")
+    rows = split.stratified_split(df).where("split = 'train'")
+    M.train(df, rows, M.GBTParams(rounds=1, depth=2, spread_rows=10), FIXTURE_COLUMNS)
+    assert seen == [min(24, rows.where("churn_label is not null").count() // 10)]
