@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -289,3 +290,33 @@ def test_language_model_learns_order_and_holds_out(spark):
     total = lambda df: df.where("held_out").agg(F.sum("score").alias("s")).first()["s"]
     assert total(own) > 0.85 * total(plain)
     assert own.where("score >= 0").count() == 0 and own.count() == docs.count()
+
+
+def test_every_training_id_is_a_target_once_and_every_window_is_trained_on(spark, docs_of, monkeypatch):
+    """No id of a training text is left to chance: one window in ten was drawn before."""
+    rows, docs = _docs(docs_of)
+    model = Path(lm.TOKENIZER).read_bytes()
+    split = lm.Subwords(model)
+    rank = np.arange(split.size) % A.RANKS
+    windows = lm._windows(docs, model, rank).withColumn("at", F.monotonically_increasing_id()).cache()
+    got = np.stack([np.frombuffer(r["ids"], np.int16) for r in windows.collect()]).astype(np.int64)
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    want, starts = collections.Counter(), 0
+    for d, t in rows:
+        if zlib.crc32(("" if d is None else str(d)).encode()) % 5 != 1:
+            ids = [int(rank[i]) for g in split.ids_of(re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))) for i in g] + [int(rank[split.ids[0]])]
+            want.update(zip([A.START, *ids], ids))
+            starts += 1
+    assert collections.Counter(map(tuple, np.stack((got[:, :-1], got[:, 1:]), axis=2)[got[:, 1:] >= 0].tolist())) == want
+    assert (got == A.START).sum() == starts
+    trained = collections.Counter()
+
+    def seen(w, p, *_):
+        trained.update((r["key"], r["at"]) for r in w.select("key", "at" if "at" in w.columns else F.lit(-1).alias("at")).collect())
+        return None
+
+    monkeypatch.setattr(lm, "_replicas", seen)
+    monkeypatch.setattr(lm, "_average", lambda rows, p: p)
+    lm.train(windows, {}, len(got), warm=0, group=200, least=1)
+    keys = collections.Counter(r["key"] for r in windows.select("key").collect())
+    assert collections.Counter(k for k, _ in trained.elements()) == keys
