@@ -177,6 +177,9 @@ def train(df: DataFrame, train_rows: DataFrame, params: GBTParams = GBTParams(),
     row = F.xxhash64(*[F.col(c) for c in features])
     placed = prepared(labelled, features, cats, levels).repartition(parts, S.ID).sortWithinPartitions(S.ID, row)
     inputs = [f"{c}__code" if c in cats else f"{c}__num" for c in features]
+    # each of the learner's jobs (one per tree level) sends the rows' whole lineage with every task;
+    # a checkpoint keeps partitions and order and leaves files in the place of the plan
+    placed = placed.select(S.LABEL, *inputs).checkpoint()
     gbt = GBTClassifier(
         featuresCol="features",
         labelCol=S.LABEL,

@@ -197,3 +197,18 @@ def test_training_rows_spread_over_more_tasks_as_they_grow(spark, monkeypatch):
     rows = split.stratified_split(df).where("split = 'train'")
     M.train(df, rows, M.GBTParams(rounds=1, depth=2, spread_rows=10), FIXTURE_COLUMNS)
     assert seen == [min(24, rows.where("churn_label is not null").count() // 10)]
+
+
+def test_training_jobs_carry_no_plan_of_the_rows(spark, monkeypatch):
+    """The learner runs a job per tree level; each of their tasks took the whole lineage of the rows along."""
+    seen = []
+    fit = M.Pipeline.fit
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, rows: seen.append(rows) or fit(self, rows))
+    df = MP.subscribers(spark, "/root/testdata/sf0.001")
+    rows = split.stratified_split(df).where("split = 'train'")
+    M.train(df, rows, M.GBTParams(rounds=1, depth=2), FIXTURE_COLUMNS)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" in plan and "Exchange" not in plan and "FileScan" not in plan
+    # the checkpoint keeps the placement: ids' hash partitions, sorted inside
+    assert seen[0].rdd.getNumPartitions() == M.GBTParams().partitions
+    assert seen[0].count() == rows.where("churn_label is not null").count()
