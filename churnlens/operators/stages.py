@@ -5,8 +5,8 @@ goes to the tasks, which route blocks of rows through all trees at once in
 numpy.  Two results come out of that routing:
 
 * ``learning_curve``: margins after every round are prefix sums over a row's
-  tree outputs; equal scores of a round collapse, first per block, then in one
-  aggregate, and the AUC of each round and split is an exact rank sum
+  tree outputs; equal scores of a round collapse, first over many blocks in the
+  task, then in one aggregate, and the AUC of each round and split is an exact rank sum
   (``rank_sums``), the ROC area with ties counted half;
 * ``gain_importance``: every row adds its count and its pseudo-residual to the
   nodes it passes; a split's gain is the squared-error reduction of those
@@ -19,6 +19,7 @@ classes has a null AUC; a model without splits has no importances.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,8 @@ from churnlens.operators import model as M
 from churnlens.session import scratch_path, ship_package
 
 BLOCK = 1024
+POINTS = 1 << 22  # scores a task holds before equal ones collapse
+SENT = 1 << 18  # points it sends at once
 DIGIT = 16  # bits of a score that one level of the rank sum looks at
 
 
@@ -100,9 +103,11 @@ class Forest:
         """Places (rows x trees) level by level, the roots first; a row that reached its leaf stays there."""
         at = np.broadcast_to(self.root, (len(x), len(self.root)))
         yield at
-        rows = np.arange(len(x))[:, None]
+        flat, begin = x.ravel(), (np.arange(len(x)) * x.shape[1])[:, None]
+        sides = np.stack((self.right, self.left), axis=1).ravel()
         for _ in range(self.depth):
-            at = np.where(x[rows, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+            low = flat.take(begin + self.feature.take(at)) <= self.threshold.take(at)
+            at = sides.take(2 * at + low)
             yield at
 
     def margins(self, x: np.ndarray) -> np.ndarray:
@@ -158,6 +163,45 @@ def rank_sums(points: DataFrame, groups: list[str], digit: int = DIGIT) -> DataF
     return p.select(*groups, F.try_divide(F.col("pairs"), F.col("pos").cast("double") * F.col("neg")).alias("auc"))
 
 
+def score_points(batches, forest: Forest) -> Iterator[pa.RecordBatch]:
+    """``split, round, key, pos, neg`` of blocks of rows: equal scores of a round collapse over about ``POINTS`` scores at a time."""
+    names = ["split", "round", "key", "pos", "neg"]
+    held: dict = {}  # split -> keys (rows x rounds) and classes of its rows, block by block
+    n_held = 0
+
+    def collapsed():
+        for name, parts in sorted(held.items(), key=lambda h: str(h[0])):
+            keys = np.concatenate([k for k, _ in parts]).T.copy()  # rounds x rows
+            hits = np.concatenate([y for _, y in parts]) == 1
+            order = np.argsort(keys, axis=1)
+            s, hit = np.take_along_axis(keys, order, 1), hits[order]
+            new = np.ones(s.shape, bool)
+            new[:, 1:] = s[:, 1:] != s[:, :-1]
+            first = np.flatnonzero(new.reshape(-1))
+            pos = np.add.reduceat(hit.reshape(-1).astype(np.int64), first)
+            n = np.diff(np.append(first, s.size))
+            rounds, key = (first // s.shape[1] + 1).astype(np.int32), s.reshape(-1)[first]
+            for a in range(0, len(first), SENT):
+                z = min(a + SENT, len(first))
+                split = pa.repeat(pa.scalar(name, pa.string()), z - a)
+                yield pa.RecordBatch.from_arrays(
+                    [split, pa.array(rounds[a:z]), pa.array(key[a:z]), pa.array(pos[a:z]), pa.array(n[a:z] - pos[a:z])], names=names
+                )
+
+    for part, y, x in _blocks(batches):
+        keys = ordered_bits(1.0 / (1.0 + np.exp(-2.0 * forest.margins(x))))
+        own = np.array(part.column("split").to_pylist(), object)
+        for name in set(own.tolist()):
+            mine = own == name
+            held.setdefault(name, []).append((keys[mine], y[mine]))
+        n_held += keys.size
+        if n_held >= POINTS:
+            yield from collapsed()
+            held, n_held = {}, 0
+    if n_held:
+        yield from collapsed()
+
+
 def learning_curve(rows: DataFrame, model, split: str = "split") -> DataFrame:
     """``round`` (from 1), ``split``, ``auc``: the AUC after every boosting round on every split of ``rows``."""
     ship_package(rows.sparkSession)
@@ -165,30 +209,7 @@ def learning_curve(rows: DataFrame, model, split: str = "split") -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):
-        f = sent.value
-        for part, y, x in _blocks(batches):
-            score = 1.0 / (1.0 + np.exp(-2.0 * f.margins(x)))
-            names = np.array(part.column("split").to_pylist(), object)
-            for name in sorted(set(names.tolist()), key=str):
-                mine = names == name
-                keys = ordered_bits(score[mine].T.copy())  # rounds x rows
-                order = np.argsort(keys, axis=1, kind="stable")
-                s, hit = np.take_along_axis(keys, order, 1), (y[mine] == 1)[order]
-                new = np.ones(s.shape, bool)
-                new[:, 1:] = s[:, 1:] != s[:, :-1]
-                first = np.flatnonzero(new.reshape(-1))
-                pos = np.add.reduceat(hit.reshape(-1).astype(np.int64), first)
-                n = np.diff(np.append(first, s.size))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * len(first), pa.string()),
-                        pa.array((first // s.shape[1] + 1).astype(np.int32)),
-                        pa.array(s.reshape(-1)[first]),
-                        pa.array(pos),
-                        pa.array(n - pos),
-                    ],
-                    names=["split", "round", "key", "pos", "neg"],
-                )
+        return score_points(batches, sent.value)
 
     points = _inputs(rows, model, F.col(split).alias("split")).mapInArrow(run, "split string, round int, key long, pos long, neg long")
     return rank_sums(points, ["split", "round"]).select("round", "split", "auc")

@@ -1,6 +1,7 @@
 """Learning curve and gain importance against plain numpy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -121,3 +122,43 @@ def test_rank_sums_are_exact(spark, pairs):
     points = spark.createDataFrame([("g", k, int(b), 1 - int(b)) for k, b in zip(keys, y)], "g string, key long, pos long, neg long")
     got = stages.rank_sums(points, ["g"]).first()["auc"]
     assert (got is None) if y.min() == y.max() else got == pytest.approx(_auc(score, y), abs=1e-12)
+
+
+def test_equal_scores_collapse_over_many_blocks():
+    """A task sent its equal scores once a block of 1,024 rows; now it collapses many blocks before it sends."""
+    one = lambda *v: np.array(v)
+    # two trees of one split each: x <= 0 to the left
+    forest = stages.Forest(
+        one(0, 0, 0, 1, 1, 1), one(0, 1, 2, 0, 1, 2), one(0, 3), one(1, 1, 2, 4, 4, 5), one(2, 1, 2, 5, 4, 5),
+        np.zeros(6, np.int64), one(0.0, np.inf, np.inf, 0.0, np.inf, np.inf), one(0.0, -1.0, 1.0, 0.0, -0.5, 0.5), 1,
+    )
+    n = 5 * stages.BLOCK
+    x = np.where(np.arange(n) % 3 == 0, -1.0, 1.0)
+    y = (np.arange(n) % 2).astype(np.int32)
+    split = np.where(np.arange(n) % 5 == 0, "test", "train")
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(x))
+    batch = pa.RecordBatch.from_arrays([pa.array(split), pa.array(y), lists], names=["split", "y", "x"])
+    got = [r for b in stages.score_points([batch.slice(0, 3000), batch.slice(3000)], forest) for r in b.to_pylist()]
+    assert len(got) == 2 * 2 * 2  # splits x rounds x distinct scores
+    want = {}
+    for k in range(n):
+        for r, m in enumerate((np.sign(x[k]), 1.5 * np.sign(x[k])), 1):
+            key = int(stages.ordered_bits(1.0 / (1.0 + np.exp(-2.0 * one(m))))[0])
+            pn = want.setdefault((split[k], r, key), [0, 0])
+            pn[1 - y[k]] += 1
+    assert {(g["split"], g["round"], g["key"]): [g["pos"], g["neg"]] for g in got} == want
+
+
+def test_a_task_holds_few_scores(monkeypatch):
+    """What is held is bounded, and what is sent in parts adds up."""
+    monkeypatch.setattr(stages, "POINTS", 2 * stages.BLOCK)
+    monkeypatch.setattr(stages, "SENT", 100)
+    one = lambda *v: np.array(v)
+    forest = stages.Forest(one(0), one(0), one(0), one(0), one(0), one(0), one(np.inf), one(0.25), 1)
+    n = 7 * stages.BLOCK + 5
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.zeros(n)))
+    batch = pa.RecordBatch.from_arrays([pa.array([None] * n, pa.string()), pa.array(np.ones(n, np.int32)), lists], names=["split", "y", "x"])
+    out = list(stages.score_points([batch], forest))
+    assert sum(b.num_rows for b in out) == 4 and max(b.num_rows for b in out) <= 100
+    assert sum(sum(b.column("pos").to_pylist()) for b in out) == n
+    assert all(v is None for b in out for v in b.column("split").to_pylist())
