@@ -338,3 +338,41 @@ def test_pair_chains_equal_joined_matches():
     got = [tuple(r.values()) for b in substring._pair_chains(iter([batch])) for r in b.to_pylist()]
     want = [tuple(map(int, c)) for c in substring._chained(*(np.array(c) for c in zip(*matches)))]
     assert got == want and want
+
+
+def test_runs_of_one_word_pair_documents_only_by_what_is_beside_them(docs_of, monkeypatch):
+    rng = random.Random(31)
+    rows = []
+    for i in range(60):  # a word 40 times between words of the document's own: no passage
+        own = _words(rng, 2)
+        rows.append((i, " ".join([own[0]] * 30 + ["the"] * 40 + [own[1]] * 30 + _words(rng, 40))))
+    for i in (70, 80, 90):  # two runs that are a passage together only
+        rows.append((i, " ".join(_words(rng, 40) + ["the"] * 30 + ["is"] * 30 + _words(rng, 40))))
+    pairs, save = [], substring.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if name == "pairs":
+            pairs.extend((r["doc"], r["partner"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(substring.Scratch, "save", counted)
+    covered = _covered(substring.repeated_spans(docs_of(rows)).collect())
+    assert set(covered) == {80, 90} and all(set(range(40, 100)) <= set(covered[d]) for d in covered)
+    assert len(pairs) <= 3  # 1,770 documents share the run
+
+
+def test_shingles_beside_runs_of_one_word():
+    # a run, four junctions, another run; the junctions are the rarest
+    h = np.array([1] * 40 + [11, 12, 13, 14] + [2] * 40)
+    n = np.array([500] * 40 + [9, 8, 7, 6] + [400] * 40)
+    flat = np.isin(h, [1, 2])
+    # with both runs and three of four junctions a part would be common enough: two must stay
+    assert sorted(set(h[substring._beside_runs(h, n, flat)])) == [13, 14]
+    # a frequent line near the run is left out, as what nobody else has stands between them
+    line = np.arange(20, 29)
+    h = np.concatenate((np.arange(100, 140), line, np.arange(300, 304), [1] * 40, np.arange(200, 240)))
+    n = np.where(np.isin(h, line), 300, np.where(h == 1, 500, 1))
+    assert not substring._beside_runs(h, n, h == 1).any()
+    # enough with runs alone: left to the other rule
+    assert substring._beside_runs(np.array([1] * 60), np.full(60, 5), np.ones(60, bool)) is None
