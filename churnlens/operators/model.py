@@ -18,20 +18,27 @@ The trees split on code order (no nominal metadata).  MLlib samples rows per
 partition, so the training rows are placed by hash of the id in a number of
 partitions that follows from the parameters and the number of rows alone
 (``n_partitions``) and sorted inside them: the fitted model does not depend on
-the cluster or on how the input was cut.  At most about ``max_rows`` labelled
-rows, chosen by id hash, are used to fit.
+the cluster or on how the input was cut.  Every labelled row is used to fit
+(a caller may ask for a bound, ``max_rows``; no query does).
+
+MLlib looks for its thresholds in a sample as soon as there are more rows than
+``max_bins`` squared.  Then they are counted here instead, over all rows
+(``thresholds``), and the learner gets the number of the bin a value is in: the
+first stages of the pipeline find it, so the trees' thresholds are bin numbers
+wherever the model goes.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import astuple, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +52,8 @@ NOT_INPUTS = {S.ID, S.CHURN, S.LABEL, S.TOTAL_RAW, S.PROB, S.PRED, S.RISK_BAND,
 MISSING = -1.0
 LARGEST = 1e30
 FEW_LEVELS = 100
+WHOLE = 10_000  # rows of which MLlib reads all for its thresholds, whatever ``max_bins``
+MOST_BINS = 46_340  # whose square MLlib can hold: beyond it (2.1 billion training rows) it draws rows again
 
 
 @dataclass(frozen=True)
@@ -60,7 +69,7 @@ class GBTParams:
     spread_rows: int = 45_000  # rows a partition of them has, up to ``spread`` partitions
     spread: int = 24
     most_rows: int = 250_000  # then they grow to this many rows, and only then in number
-    max_rows: int = 2_000_000
+    max_rows: int | None = None  # labelled rows to fit at most (by id hash); None: all of them
 
 
 def n_partitions(n: int, params: GBTParams) -> int:
@@ -160,6 +169,60 @@ def prepared(df: DataFrame, features: list[str], cats: list[str], levels: Levels
     return coded.withColumns(numbers) if numbers else coded
 
 
+def thresholds(rows: DataFrame, inputs: list[str], max_bins: int) -> dict[str, list[float]]:
+    """Where the learner may split each input: at most ``max_bins - 1`` places, all rows counted.
+
+    MLlib's own rule, on every row: all places between two values if there are
+    few enough, otherwise those nearest to the ``max_bins``-quantiles.  Values
+    are counted, ranged and summed up range by range; a row per input and
+    quantile comes to the driver.
+    """
+    spark = rows.sparkSession
+    counted = rows.unpivot([], inputs, "input", "value").groupBy("input", "value").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(spark, "values")
+    counted.repartitionByRange("input", "value").withColumn("range", F.spark_partition_id()).write.parquet(path)
+    counted = spark.read.parquet(path)
+    ranges = counted.groupBy("input", "range").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows"))
+    before = Window.partitionBy("input").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ranges.select(
+        "input", "range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("values", "rows")]
+    )
+    inside = Window.partitionBy("input", "range").orderBy("value")
+    placed = counted.join(F.broadcast(earlier), ["input", "range"]).select(
+        "input",
+        "value",
+        (F.col("values_before") + F.row_number().over(inside) - 1).alias("place"),
+        # twice the rows up to the middle of this value's own
+        (2 * (F.col("rows_before") + F.sum("n").over(inside)) - F.col("n")).alias("middle"),
+    )
+    total = {r["input"]: r for r in ranges.groupBy("input").agg(F.sum("values").alias("values"), F.sum("rows").alias("rows")).collect()}
+    n = max((r["rows"] for r in total.values()), default=1)
+    passed = F.expr(f"({max_bins} * middle - 1) div {2 * n}")  # quantiles that are nearer to the place before the value
+    first: dict[str, list] = {c: [] for c in inputs}
+    some = placed.where("place > 0").groupBy("input", passed.alias("passed")).agg(F.min("place").alias("place"))
+    for r in some.where("passed > 0").orderBy("input", "passed").collect():
+        first[r["input"]].append((r["passed"], r["place"]))
+    wanted = []
+    for c in total:
+        if total[c]["values"] <= max_bins:
+            wanted += [(c, i) for i in range(1, total[c]["values"])]
+            continue
+        last, k = 0, 0
+        for many, place in first[c]:
+            while k < many:  # each quantile has a place of its own
+                last, k = max(last + 1, place), k + 1
+                if last < total[c]["values"]:
+                    wanted.append((c, last))
+    out: dict[str, list[float]] = {c: [] for c in inputs}
+    if wanted:
+        ends = spark.createDataFrame([(c, i, i - side) for c, i in wanted for side in (0, 1)], "input string, split long, place long")
+        both = placed.join(F.broadcast(ends), ["input", "place"]).groupBy("input", "split").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+        for r in both.orderBy("input", "split").collect():
+            middle = (r["a"] + r["b"]) / 2
+            out[r["input"]].append(middle if middle < r["b"] else r["a"])
+    return out
+
+
 def train(df: DataFrame, train_rows: DataFrame, params: GBTParams = GBTParams(), exclude=()) -> FittedModel:
     """Levels from ``df`` (whole table), boosted trees from ``train_rows``."""
     spark = df.sparkSession
@@ -170,16 +233,29 @@ def train(df: DataFrame, train_rows: DataFrame, params: GBTParams = GBTParams(),
     levels = Levels.of(spark.read.parquet(path))
     labelled = train_rows.where(F.col(S.LABEL).isNotNull())
     n = labelled.count()
-    if n > params.max_rows:
+    if params.max_rows is not None and n > params.max_rows:
         unit = 1 << 30
         labelled = labelled.where(F.pmod(F.xxhash64(S.ID, F.lit(params.seed)), F.lit(unit)) < int(params.max_rows / n * unit))
-    parts = n_partitions(min(n, params.max_rows), params)
+        n = labelled.count()
+    parts = n_partitions(n, params)
     row = F.xxhash64(*[F.col(c) for c in features])
     placed = prepared(labelled, features, cats, levels).repartition(parts, S.ID).sortWithinPartitions(S.ID, row)
     inputs = [f"{c}__code" if c in cats else f"{c}__num" for c in features]
     # each of the learner's jobs (one per tree level) sends the rows' whole lineage with every task;
     # a checkpoint keeps partitions and order and leaves files in the place of the plan
     placed = placed.select(S.LABEL, *inputs).checkpoint()
+    bins, binned = params.max_bins, []
+    if n > max(bins * bins, WHOLE):
+        # bins of (a, b]; as many as MLlib needs to read all rows, of which it finds those that are there
+        edges = [[-math.inf, *[math.nextafter(x, math.inf) for x in found], math.inf] for found in thresholds(placed, inputs, bins).values()]
+        edges = [e if len(e) > 2 else [-math.inf, 0.0, math.inf] for e in edges]  # a constant input has no threshold
+        numbers = ", ".join(f"int(`{c}__bin`) AS `{c}__place`" for c in inputs)  # a bin is no level: the cast drops that note
+        binned = [
+            Bucketizer(splitsArray=edges, inputCols=inputs, outputCols=[f"{c}__bin" for c in inputs]),
+            SQLTransformer(statement=f"SELECT *, {numbers} FROM __THIS__"),
+        ]
+        bins = min(MOST_BINS, max(bins, math.isqrt(n - 1) + 1))
+    vector = VectorAssembler(inputCols=[f"{c}__place" for c in inputs] if binned else inputs, outputCol="features")
     gbt = GBTClassifier(
         featuresCol="features",
         labelCol=S.LABEL,
@@ -190,11 +266,11 @@ def train(df: DataFrame, train_rows: DataFrame, params: GBTParams = GBTParams(),
         featureSubsetStrategy=str(params.column_sample),
         seed=params.seed,
         lossType="logistic",
-        maxBins=params.max_bins,
+        maxBins=bins,
         cacheNodeIds=False,
         checkpointInterval=10,
     )
-    pipeline = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), gbt]).fit(placed)
+    pipeline = Pipeline(stages=[*binned, vector, gbt]).fit(placed)
     return FittedModel(pipeline, features, cats, levels)
 
 

@@ -120,8 +120,9 @@ class Forest:
 def _inputs(rows: DataFrame, model, *keep) -> DataFrame:
     """``keep`` columns, ``y`` (0 or 1) and the model's input vector ``x`` of the labelled rows."""
     ready = M.prepared(rows.where(F.col(S.LABEL).isNotNull()), model.features, model.cats, model.levels)
-    vectors = model.pipeline.stages[0].transform(ready)
-    return vectors.select(*keep, F.col(S.LABEL).cast("int").alias("y"), vector_to_array("features").alias("x"))
+    for stage in model.pipeline.stages[:-1]:
+        ready = stage.transform(ready)
+    return ready.select(*keep, F.col(S.LABEL).cast("int").alias("y"), vector_to_array("features").alias("x"))
 
 
 def _blocks(batches):

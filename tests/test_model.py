@@ -212,3 +212,81 @@ def test_training_jobs_carry_no_plan_of_the_rows(spark, monkeypatch):
     # the checkpoint keeps the placement: ids' hash partitions, sorted inside
     assert seen[0].rdd.getNumPartitions() == M.GBTParams().partitions
     assert seen[0].count() == rows.where("churn_label is not null").count()
+
+
+def test_every_labelled_row_is_fitted(spark, monkeypatch):
+    """More than two million rows: the trees were fitted on a hash sample of them."""
+    n, seen = 2_200_000, []
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, rows: seen.append(rows.count()))
+    rows = spark.range(n).select(F.col("id").cast("string").alias(S.ID), F.lit("a").alias("kind"), (F.col("id") % 5).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias(S.LABEL))
+    M.train(rows.limit(10), rows, M.GBTParams(rounds=1, depth=1))
+    assert seen == [n]
+
+
+def _mllib_thresholds(values, max_bins):
+    """MLlib's walk over the sorted values of all rows."""
+    v, n = np.unique(values, return_counts=True)
+    if len(v) <= max_bins:
+        return [(a + b) / 2 for a, b in zip(v, v[1:])]
+    stride = len(values) / max_bins
+    out, target, run = [], stride, n[0]
+    for i in range(1, len(v)):
+        before, run = run, run + n[i]
+        if abs(before - target) < abs(run - target):
+            out.append((v[i - 1] + v[i]) / 2)
+            target += stride
+    return out
+
+
+def test_thresholds_count_all_rows(spark):
+    rng = np.random.default_rng(4)
+    n = 4_000
+    cols = {
+        "wide": rng.normal(size=n).round(2),
+        "heavy": np.where(rng.random(n) < 0.6, 7.0, rng.integers(0, 90, n)).astype(float),
+        "tail": np.where(rng.random(n) < 0.97, -1.0, rng.random(n) * 1e6),
+        "few": (rng.random(n) < 0.001) * 3.0,
+        "one": np.full(n, 2.5),
+    }
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*cols.values())], ", ".join(f"{c} double" for c in cols)).repartition(7)
+    for bins in (4, 32):
+        found = M.thresholds(df, list(cols), bins)
+        assert found == {c: _mllib_thresholds(v, bins) for c, v in cols.items()}
+
+
+def _with_rare(spark, n):
+    """Each value of x but zero on one row, with a label of its own."""
+    x = F.when(F.col("id") < 12, F.col("id")).otherwise(0).cast("double")
+    label = F.when(F.col("id") < 12, F.col("id") % 2).otherwise(0).cast("int")
+    return spark.range(n).select(F.col("id").cast("string").alias(S.ID), F.lit("a").alias("kind"), x.alias("x"), (F.col("id") % 4001).cast("double").alias("y"), label.alias(S.LABEL))
+
+
+def test_thresholds_of_the_trees_do_not_come_from_a_sample(spark):
+    """MLlib drew 10,000 of these rows for its thresholds and so left values of x without one."""
+    df = _with_rare(spark, 40_000)
+    params = M.GBTParams(rounds=1, step=1.0, depth=12, row_sample=1.0, column_sample=1.0, max_bins=16)
+    model = M.train(df, df, params)
+    got = {r["x"]: r["hit"] for r in M.score(model, df.where("x > 0")).select("x", (F.col(S.PRED) == F.col(S.LABEL)).alias("hit")).collect()}
+    assert got == {float(i): True for i in range(1, 12)}
+
+
+def test_counted_thresholds_give_the_learners_own_trees(spark, monkeypatch):
+    """Where MLlib reads all rows itself, both ways fit the same model; the reports read its bins."""
+    from churnlens.operators import stages
+
+    df = MP.subscribers(spark, SF_SMALL)
+    rows = split.stratified_split(df)
+    params = M.GBTParams(rounds=3, depth=3, max_bins=10)
+    results = []
+    for whole in (M.WHOLE, 0):
+        monkeypatch.setattr(M, "WHOLE", whole)
+        model = M.train(df, rows.where("split = 'train'"), params, FIXTURE_COLUMNS)
+        scores = {r[S.ID]: r[S.PROB] for r in M.score(model, df).select(S.ID, S.PROB).collect()}
+        curve = {(r["round"], r["split"]): r["auc"] for r in stages.learning_curve(rows.where("split is not null"), model).collect()}
+        gains = {r["feature"]: r["importance"] for r in stages.gain_importance(rows.where("split = 'train'"), model).collect()}
+        shap = {r["feature"]: r["mean_abs_shap"] for r in X.shap_importance(rows.where("split = 'test'"), model).collect()}
+        results.append((len(model.pipeline.stages), scores, curve, gains, shap))
+    (plain, *one), (counted, *two) = results
+    assert (plain, counted) == (2, 4)
+    for a, b in zip(one, two):
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
